@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontamination, quality, simhash
+from . import decontamination, packing, quality, simhash, suffix_dedup
 from ._util import read
 
 
@@ -13,6 +14,11 @@ def op4_benchmark_decontamination(spark, sf_dir):
     return decontamination.scan_documents(docs, items, window=10).drop("spans")
 
 
+def op5_suffix_array_dedup(spark, sf_dir):
+    found = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), width=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
 
@@ -23,6 +29,11 @@ def op9_quality_rules(spark, sf_dir):
     )
 
 
+def op10_packing(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=2048).drop("ids")
+
+
 def quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -69,7 +80,9 @@ FROM f"""
 
 QUERIES = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_packing": op10_packing,
 }
 ORACLES = {"op4_benchmark_decontamination": OP4, "op9_quality_rules": OP9}
