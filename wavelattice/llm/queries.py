@@ -5,10 +5,35 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality, simhash, suffix_dedup
+from . import decontamination, language_id, packing, quality, simhash, suffix_dedup, toxicity
 from ._util import read
 
 
+def fold(doc_id, modulus):
+    """crc32 of doc_id as text, modulo modulus; null doc_ids are in no fold."""
+    return F.crc32(F.col(doc_id).cast("string")) % modulus
+
+
+def op1_toxicity(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    learned = labels.where(fold("doc_id", 5) != 0)
+    model = toxicity.fit(docs.where(fold("doc_id", 5) != 0), learned)
+    held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held, "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def language_model(docs):
+    """The contract's model: learned from the folds other than 2."""
+    return language_id.fit(docs.where(fold("doc_id", 4) != 2))
+
+
+def op2_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    found = language_id.identify(docs.select("doc_id", "text"), language_model(docs))
+    held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), held, "lang_pred", "score", "rejected")
+
+
 def op4_benchmark_decontamination(spark, sf_dir):
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     return decontamination.scan_documents(docs, items, window=10).drop("spans")
@@ -79,6 +104,8 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
 FROM f"""
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_language_id": op2_language_id,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
