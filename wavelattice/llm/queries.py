@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, packing, quality, simhash, suffix_dedup, toxicity
+from . import decontamination, language_id, licenses, line_dedup, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity
 from ._util import read
 
 
@@ -34,6 +34,10 @@ def op2_language_id(spark, sf_dir):
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), held, "lang_pred", "score", "rejected")
 
 
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark, sf_dir):
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     return decontamination.scan_documents(docs, items, window=10).drop("spans")
@@ -44,10 +48,19 @@ def op5_suffix_array_dedup(spark, sf_dir):
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_substring_dedup(spark, sf_dir):
+    found = substring_dedup.remove_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.length("kept").cast("long").alias("n_kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
 
 
+def op8_line_dedup(spark, sf_dir):
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality.quality(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars"
@@ -103,13 +116,46 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_chars <= {quality.MAX_LOST} * word_chars AS kept
 FROM f"""
 
+def _canonical(expression):
+    """licenses.canonical in DuckDB SQL."""
+    out = f"lower(regexp_replace({expression}, {quoted(licenses.COPYRIGHT_LINE)}, '', 'g'))"
+    for pattern, spelling in licenses.EQUIVALENT:
+        out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(spelling)}, 'g')"
+    return f"md5(trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))"
+
+
+_KNOWN = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in [(k, t) for k, ts in licenses.NOTICES.items() for t in ts] + list(licenses.TEXTS.items()))
+_LONGEST = 4 * max(len(t) for ts in licenses.NOTICES.values() for t in ts)
+
+OP3 = f"""
+WITH known AS (SELECT digest, min(license_id) license_id FROM (SELECT {_canonical("t")} digest, license_id FROM (VALUES {_KNOWN}) v(license_id, t)) GROUP BY digest),
+d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
+u AS (SELECT doc_id, true whole, {_canonical("t")} digest FROM d
+  UNION ALL SELECT doc_id, false, {_canonical("line")} FROM (SELECT doc_id, unnest(string_split(t, chr(10))) line FROM d) WHERE length(line) BETWEEN 1 AND {_LONGEST})
+SELECT doc_id, min(license_id) FILTER (WHERE whole) license_id,
+  coalesce(string_agg(DISTINCT license_id, ',' ORDER BY license_id) FILTER (WHERE NOT whole), '') notice_licenses,
+  count(license_id) FILTER (WHERE NOT whole) n_notices, min(digest) FILTER (WHERE whole) digest
+FROM u LEFT JOIN known USING (digest) GROUP BY doc_id"""
+
+OP6 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
+l AS (SELECT doc_id, i, len(ls) n, ls[i] line, list_filter(regexp_split_to_array(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_S}), lambda x: x <> '') ws
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) i FROM (SELECT doc_id, string_split(t, chr(10)) ls FROM d))),
+r AS (SELECT doc_id, i, n, line, len(ws) >= {substring_dedup.MIN_WORDS} AND row_number() OVER (PARTITION BY array_to_string(ws, ' ') ORDER BY doc_id, i) > 1 gone FROM l),
+k AS (SELECT doc_id, max(n) n_lines, count(*) FILTER (WHERE gone) n_removed,
+  coalesce(string_agg(CASE WHEN i < n THEN line || chr(10) ELSE line END, '' ORDER BY i) FILTER (WHERE NOT gone), '') kept FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(n_lines AS BIGINT) n_lines, n_removed, CAST(length(kept) AS BIGINT) n_kept_chars, sha256(kept) kept_sha256 FROM k"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
+    "op3_license_scan": op3_license_scan,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
-ORACLES = {"op4_benchmark_decontamination": OP4, "op9_quality_rules": OP9}
+ORACLES = {"op3_license_scan": OP3, "op6_substring_dedup": OP6, "op4_benchmark_decontamination": OP4, "op9_quality_rules": OP9}
