@@ -87,10 +87,10 @@ def freq_vector(spark, d):
     return spark.range(BINS).select(F.col("id").alias("f"), spectral.frequency(F.col("id"), 8000, BINS).alias("hz"))
 
 
-@query("SELECT item, ch, n, round(sum(x), 4) + 0.0 AS x FROM src WHERE label IN ('cart', 'click') GROUP BY ALL", "sig", "src")
+@query("SELECT item, ch, n, round(sum(x), 4) + 0.0 AS x FROM src WHERE label IN ('error', 'click') GROUP BY ALL", "sig", "src")
 def add(spark, d):
     s = src(spark, d)
-    return rounded(signal.add(s.where("label = 'cart'"), s.where("label = 'click'")), "x")
+    return rounded(signal.add(s.where("label = 'error'"), s.where("label = 'click'")), "x")
 
 
 @query("SELECT item, ch, n, round(CASE WHEN label = 'view' THEN 0 ELSE x END, 4) + 0.0 AS x FROM sig", "sig")
@@ -169,18 +169,18 @@ def tremolo(spark, d):
     return rounded(signal.tremolo(sig(spark, d), 8000, 5, 0.5).drop("label"), "x")
 
 
-@query("SELECT item, CASE WHEN label IN ('cart', 'purchase') THEN 'buy' ELSE label END AS label, ch, n, round(sum(x), 4) + 0.0 AS x FROM src GROUP BY ALL", "sig", "src")
+@query("SELECT item, CASE WHEN label IN ('error', 'view') THEN 'buy' ELSE label END AS label, ch, n, round(sum(x), 4) + 0.0 AS x FROM src GROUP BY ALL", "sig", "src")
 def sum_sources(spark, d):
-    return rounded(signal.sum_sources(src(spark, d), {"buy": ["cart", "purchase"]}), "x")
+    return rounded(signal.sum_sources(src(spark, d), {"buy": ["error", "view"]}), "x")
 
 
 @query("SELECT item, '0100,0010' AS one_hot FROM (SELECT DISTINCT item FROM src)", "sig", "src")
 def labels_to_one_hot(spark, d):
-    rows = signal.labels_to_one_hot(src(spark, d).where("label in ('click', 'login')"), ["cart", "click", "login", "view"])
+    rows = signal.labels_to_one_hot(src(spark, d).where("label in ('error', 'purchase')"), ["click", "error", "purchase", "view"])
     return rows.select("item", F.array_join(F.transform("one_hot", lambda x: F.array_join(x.cast("array<string>"), "")), ",").alias("one_hot"))
 
 
-@query("SELECT item, label, ch, n, round(x, 4) + 0.0 AS x FROM src WHERE label = 'click'", "sig", "src")
+@query("SELECT item, label, ch, n, round(x, 4) + 0.0 AS x FROM src WHERE label = 'error'", "sig", "src")
 def index_sources(spark, d):
     return rounded(signal.index_source(src(spark, d), 1), "x")
 

@@ -28,7 +28,7 @@ def event_sources(signals: DataFrame, labels: list[str]) -> DataFrame:
     return signals.select("item", "ch", "n", F.explode(F.array(*(F.struct(F.lit(v).alias("label"), F.when(F.col("label") == v, F.col("x")).otherwise(0.0).alias("x")) for v in labels))).alias("s")).select("item", "s.label", "ch", "n", "s.x")
 
 
-EVENT_TYPES = ["cart", "click", "login", "purchase", "view"]
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def line_stereo(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same views in DuckDB SQL, as common table expressions.
 SQL = {
     "sig": "sig AS (SELECT CAST(user_id AS VARCHAR) item, 0 ch, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 n, CAST(value AS DOUBLE) x, event_type label FROM events)",
-    "src": "src AS (SELECT item, l.label, ch, n, CASE WHEN sig.label = l.label THEN x ELSE 0.0 END x FROM sig, (SELECT unnest(['cart', 'click', 'login', 'purchase', 'view']) label) l)",
+    "src": "src AS (SELECT item, l.label, ch, n, CASE WHEN sig.label = l.label THEN x ELSE 0.0 END x FROM sig, (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) label) l)",
     "line": "line AS (SELECT CAST(l_suppkey AS VARCHAR) item, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 n, CAST(l_quantity AS DOUBLE) q, CAST(l_extendedprice AS DOUBLE) / 1000 p, CAST(l_discount AS DOUBLE) * 1000 d, CAST(l_tax AS DOUBLE) * 1000 t FROM lineitem)",
     "lsrc": "lsrc AS (SELECT item, 'a' label, 0 ch, n, q x FROM line UNION ALL SELECT item, 'b', 0, n, d FROM line UNION ALL SELECT item, 'c', 0, n, t FROM line)",
     "st": "st AS (SELECT item, 0 ch, n, q x FROM line UNION ALL SELECT item, 1, n, p FROM line)",
