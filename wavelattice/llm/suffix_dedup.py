@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from ._util import cut
 from ._windows import segments
 from .suffix_order import alike_neighbours, suffix_array
 
-#: Different segments of one anchor that one block takes (some 550 bytes each).
-HOT = 2000
+#: Different segments of one anchor that one block takes (some 550 bytes each, so 4 MB of text to sort).
+HOT = 8000
 #: Bytes of a block, but for its last group.
 BLOCK = 2 << 20
 
@@ -47,6 +48,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def _shrunk(keyed: DataFrame) -> DataFrame:
+    """keyed with raw, the compressed bytes, in place of text: what is shuffled by document."""
+
+    def run(batches):
+        pack = ZstdCompressor(level=3).compress
+        for batch in batches:
+            raw = pa.array([pack(t.as_py().encode()) for t in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], raw], names=["doc_id", "k0", "k1", "raw"])
+
+    return keyed.mapInArrow(run, "doc_id long, k0 long, k1 long, raw binary")
+
+
 def _segments(keyed: DataFrame, width: int) -> DataFrame:
     names = ["k0", "k1", "anchor", "digest", "lo", "n"]
 
@@ -81,13 +94,14 @@ def _fetch(keyed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     per_text = wanted.groupBy(F.col("k0").alias("w0"), F.col("k1").alias("w1")).agg(
         F.collect_list(F.struct("anchor", "salt", "parts", "digest", "lo", "n", "m")).alias("want")
     )
-    joined = keyed.join(per_text, (F.col("k0") == F.col("w0")) & (F.col("k1") == F.col("w1"))).select("k0", "k1", "text", "want")
+    joined = _shrunk(keyed).join(per_text, (F.col("k0") == F.col("w0")) & (F.col("k1") == F.col("w1"))).select("k0", "k1", "raw", "want")
 
     def run(batches):
+        unpack = ZstdDecompressor().decompress
         for batch in batches:
             rows = []
             for k0, k1, text, want in zip(*(batch.column(i) for i in range(4)), strict=True):
-                raw, k0, k1 = text.as_py().encode(), k0.as_py(), k1.as_py()
+                raw, k0, k1 = unpack(text.as_py()), k0.as_py(), k1.as_py()
                 for w in want.as_py():
                     rows.append((w["anchor"], w["salt"], w["parts"], w["digest"], k0, k1, w["lo"], w["n"], w["m"], raw[w["lo"] : w["lo"] + w["n"] + width - 1]))
                     if len(rows) >= 4000:
@@ -192,14 +206,15 @@ def repeats(docs: DataFrame, width: int = 400, hot: int = HOT) -> DataFrame:
 def remove_repeats(docs: DataFrame, width: int = 400, hot: int = HOT) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, spans (removed [start, end) bytes) and kept (the bytes left)."""
     by_text = repeats(docs, width, hot).groupBy(F.col("k0").alias("w0"), F.col("k1").alias("w1")).agg(F.collect_set(F.struct("start", "end")).alias("want"))
-    joined = _keyed(docs).join(by_text, (F.col("k0") == F.col("w0")) & (F.col("k1") == F.col("w1")), "left").select("doc_id", "text", "want")
+    joined = _shrunk(_keyed(docs)).join(by_text, (F.col("k0") == F.col("w0")) & (F.col("k1") == F.col("w1")), "left").select("doc_id", "raw", "want")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
+        unpack = ZstdDecompressor().decompress
         for batch in batches:
             cols: list[list] = [[] for _ in range(5)]
             for text, want in zip(batch.column(1), batch.column(2), strict=True):
-                raw = text.as_py().encode()
+                raw = unpack(text.as_py())
                 runs: list[list[int]] = []
                 for a, b in sorted((w["start"], w["end"]) for w in want.as_py() or ()):
                     if runs and a <= runs[-1][1]:
