@@ -34,8 +34,9 @@ from ._util import cut
 DIMS, BITS = 3, 16
 END = 1
 _DOUBLE = re.compile(r"\s\s")
-#: Words and texts remembered by a worker.
-MEMO = 300_000
+_MARKS = frozenset(".,;:!?")
+#: Words remembered by a worker (some 150 bytes each).
+MEMO = 700_000
 
 
 class Ids:
@@ -73,7 +74,12 @@ class Ids:
                 head, *rest = line.split(" ")
                 if head:
                     words.append(head)
-                words += [" " + w for w in rest]
+                for w in rest:
+                    # A run of letters and the mark after it are separate for a byte-level tokenizer.
+                    if w[-1:] in _MARKS and w[:-1].isalpha():
+                        words += (" " + w[:-1], w[-1])
+                    else:
+                        words.append(" " + w)
             plans.append(words)
             unknown.update(words)
         if len(self.memo) > MEMO:
