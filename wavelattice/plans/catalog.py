@@ -521,3 +521,16 @@ for _name in list(ORACLES):
 def flagship(spark, sf_dir):
     """Separation metrics of estimates against true sources, from one pass of products."""
     return si_metrics(spark, sf_dir)
+
+
+def _separated(method):
+    def run(spark, d):
+        from ..operators import kernels
+
+        return kernels.separate(sig(spark, d).drop("label"), method, 8000, L, H)
+
+    return run
+
+
+for _name in ("rpca", "ft2d", "nmf"):
+    QUERIES[f"separate_{_name}"] = _separated(_name)
