@@ -18,12 +18,14 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +36,18 @@ from ._util import cut
 DIMS, BITS = 3, 16
 END = 1
 _DOUBLE = re.compile(r"\s\s")
-_MARKS = frozenset(".,;:!?")
+#: ASCII marks, none of which is a letter, a digit or white space.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words remembered by a worker (some 150 bytes each).
 MEMO = 700_000
+#: Characters of text that are looked up at a time.
+CHUNK = 1 << 22
+
+
+def _within_a_word(token: dict) -> bool:
+    """Whether an added token is never cut by white space or between letters and marks."""
+    content = token["content"]
+    return not re.search(r"\s", content) and content[0] in MARKS and content.strip(MARKS) != "" and not token["lstrip"] and not token["rstrip"]
 
 
 class Ids:
@@ -44,15 +55,15 @@ class Ids:
 
     A byte-level tokenizer never joins what stands before a single space or on
     both sides of a single line break, so a text without neighbouring white
-    space is the sum of its words. Other texts, and other kinds of tokenizer,
-    are encoded whole.
+    space is the sum of its words; nor does it join letters and marks after
+    them. Other texts, and other kinds of tokenizer, are encoded whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        self.by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and all(map(_within_a_word, spec.get("added_tokens") or []))
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([END], self.type).tobytes()
         self.memo: dict[str, bytes] = {}
@@ -60,34 +71,66 @@ class Ids:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        plans: list[list[str] | str] = []
-        unknown: set[str] = set()
-        for text in texts:
-            if not self.by_word or _DOUBLE.search(text):
-                plans.append(text)
-                continue
-            words: list[str] = []
-            for k, line in enumerate(text.split("\n")):
-                if k:
-                    words.append("\n")
-                head, *rest = line.split(" ")
-                if head:
-                    words.append(head)
-                for w in rest:
-                    # A run of letters and the mark after it are separate for a byte-level tokenizer.
-                    if w[-1:] in _MARKS and w[:-1].isalpha():
-                        words += (" " + w[:-1], w[-1])
-                    else:
-                        words.append(" " + w)
-            plans.append(words)
-            unknown.update(words)
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with the space before it, if any."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new = [w for w in unknown if w not in self.memo]
-        self.memo.update(zip(new, self._encode(new), strict=True))
-        get = self.memo.__getitem__
-        return [(self._encode([p])[0] if isinstance(p, str) else b"".join(map(get, p))) + self.end for p in plans]
+        memo = self.memo
+        parts: dict[str, tuple[str, str]] = {}
+        unknown: set[str] = set()
+        for w in words:
+            if w not in memo:
+                letters = w.rstrip(MARKS)
+                if len(letters) < len(w) and letters[letters[:1] == " " :].isalpha():
+                    parts[w] = letters, w[len(letters) :]
+                    unknown.update(parts[w])
+                else:
+                    unknown.add(w)
+        new = [w for w in unknown if w not in memo]
+        memo.update(zip(new, self._encode(new), strict=True))
+        return [memo[parts[w][0]] + memo[parts[w][1]] if w in parts else memo[w] for w in words]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without neighbouring white space: each different word of all is looked up once."""
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n "), " ")
+        first = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        bare = np.zeros(len(code), bool)  # no space before it: first of the text or of a line
+        bare[first[:-1]] = True
+        if "\n" in words:
+            bare[1:] |= code[:-1] == words.index("\n")
+        key = code * 2 + bare
+        used = np.flatnonzero(np.bincount(key, minlength=2 * len(words)))
+        got = self._words([w if w == "\n" or k & 1 else " " + w for k, w in ((k, words[k >> 1]) for k in used.tolist())])
+        place = np.zeros(2 * len(words), np.int64)
+        place[used] = np.arange(len(used))
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // self.type.itemsize
+        starts, pool, at = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(got), self.type), place[key]
+        count = sizes[at]
+        ends = np.cumsum(count)
+        ids = pool[np.repeat(starts[at] - ends + count, count) + np.arange(ends[-1])]
+        bounds = np.concatenate([[0], ends])[first]
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        plain: list[int] = []
+        for k, text in enumerate(texts):
+            if self.by_word and not _DOUBLE.search(text):
+                plain.append(k)
+            else:
+                out[k] = self._encode([text])[0]
+        if plain:
+            for k, ids in zip(plain, self._by_words([texts[k] for k in plain]), strict=True):
+                out[k] = ids
+        return [ids + self.end for ids in out]
+
+
+@functools.lru_cache(maxsize=1)
+def worker_ids(path: str) -> Ids:
+    """One per worker process, so that words are remembered from task to task."""
+    return Ids(path)
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -126,7 +169,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Ids(tokenizer_path)
+        encode = worker_ids(tokenizer_path)
         table = np.random.default_rng(7).standard_normal((encode.tokenizer.get_vocab_size(), DIMS), np.float32)
         for batch in batches:
             texts, held, size = batch.column(1).to_pylist(), [], 0
@@ -134,7 +177,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             for text in texts:
                 held.append(text or "")
                 size += len(text or "")
-                if size > 1 << 20:
+                if size > CHUNK:
                     raw += encode(held)
                     held, size = [], 0
             raw += encode(held)
