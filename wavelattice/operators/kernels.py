@@ -157,3 +157,22 @@ def separate(signals: DataFrame, method: str, rate: int, length: int, hop: int)
         return pd.concat([pd.DataFrame({"item": pdf.item, "src": k, "ch": pdf.ch, "n": pdf.n, "x": v}) for k, v in enumerate(out)])
 
     return signals.select("item", "ch", "n", "x").groupBy("item", "ch").applyInPandas(run, "item string, src int, ch int, n long, x double")
+
+
+def by_channel(x: np.ndarray, f, *arguments) -> np.ndarray:
+    """f of each channel."""
+    return np.array([f(c, *arguments) for c in x])
+
+
+def by_item(signals: DataFrame, f) -> DataFrame:
+    """(item, ch, n, x): f of each item's samples (channel, n), whose channels are of one length."""
+
+    def run(pdf):
+        import pandas as pd
+
+        wide = pdf.pivot(index="ch", columns="n", values="x").sort_index(axis=1).to_numpy(float)
+        out = f(wide)
+        ch, n = np.indices(out.shape)
+        return pd.DataFrame({"item": pdf["item"].iloc[0], "ch": ch.ravel(), "n": n.ravel(), "x": out.ravel()})
+
+    return signals.select("item", "ch", "n", "x").groupBy("item").applyInPandas(run, "item string, ch int, n long, x double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import learning, masks, metrics, repetition, signal, spatial, spectral
+from ..operators import kernels, learning, masks, metrics, network, repetition, signal, spatial, spectral
 from ..sources import files, views
 
 L, H, BINS = 16, 4, 9
@@ -498,6 +498,41 @@ def instance_norm(spark, d):
     return rounded(learning.layer_norm(s, "x", ["item"]).select("item", "n", "x"), "x")
 
 
+# Networks
+
+@z_query("SELECT item, ch, t, f, round(10 * log10(greatest(re * re + im * im, 1e-8)) - 1, 3) + 0.0 AS db FROM z WHERE f BETWEEN 1 AND 7", "sig", "sig")
+def amplitude_to_db(spark, d):
+    z = spectra(spark, d).where("f between 1 and 7")
+    return z.select("item", "ch", "t", "f", (F.round(network.amplitude_to_db(spectral.magnitude()), 3) + 0.0).alias("db"))
+
+
+@z_query("§§, ed AS (SELECT k, CASE WHEN m < 15 THEN m * 200 / 3 ELSE 1000 * exp((m - 15) * ln(6.4) / 27) END hz FROM (SELECT k, (15 + ln(4.0) * 27 / ln(6.4)) * k / 5 m FROM (SELECT unnest(range(6)) k))), tw AS (SELECT f, a.k mel, greatest(0, least((f * 500 - a.hz) / (b.hz - a.hz), (c.hz - f * 500) / (c.hz - b.hz))) w FROM ed a JOIN ed b ON b.k = a.k + 1 JOIN ed c ON c.k = a.k + 2, (SELECT unnest(range(9)) f)), mw AS (SELECT f, mel, w / sum(w) OVER (PARTITION BY mel) w FROM tw) SELECT item, ch, t, mel::INT AS mel, round(sum(sqrt(re * re + im * im) * w), 3) + 0.0 AS v FROM z JOIN mw USING (f) GROUP BY item, ch, t, mel", "sig", "sig")
+def mel_projection(spark, d):
+    z = spectra(spark, d).select("item", "ch", "t", "f", spectral.magnitude().alias("g"))
+    return network.mel_projection(z, "g", 8000, BINS, 4).withColumn("v", F.round("v", 3) + 0.0)
+
+
+@query(f"§{GRAM} SELECT item, round(avg(-10 * log10(10 ** (si_sdr / 10) + 1e-8)), 3) + 0.0 AS loss FROM sc WHERE ref = est GROUP BY item", "line", "lsrc")
+def si_sdr_loss(spark, d):
+    s, e = line_estimates(spark, d)
+    return network.si_sdr_loss(metrics.si_metrics(metrics.gram(s, e)).where("ref = est")).withColumn("loss", F.round("loss", 3) + 0.0)
+
+
+PAIRS = "§, e AS (SELECT item, q, d, t, 0.9 * q + 0.1 * d + 0.1 * t a, 0.1 * q + 0.9 * d + 0.1 * t b, 0.1 * q + 0.1 * d + 0.9 * t c FROM line), p AS (SELECT item, avg(abs(a - q)) aq, avg(abs(a - d)) ad, avg(abs(a - t)) a_t, avg(abs(b - q)) bq, avg(abs(b - d)) bd, avg(abs(b - t)) b_t, avg(abs(c - q)) cq, avg(abs(c - d)) cd, avg(abs(c - t)) c_t FROM e GROUP BY item)"
+
+
+@query(PAIRS + " SELECT item, round(least(aq + bd + c_t, aq + cd + b_t, bq + ad + c_t, bq + cd + a_t, cq + ad + b_t, cq + bd + a_t) / 3, 3) AS loss FROM p", "line")
+def pit_loss(spark, d):
+    s, e = line_estimates(spark, d)
+    return network.invariant_loss(s, e, ["a", "b", "c"], ["c", "a", "b"]).withColumn("loss", F.round("loss", 3))
+
+
+@query(PAIRS + " SELECT item, round(least(aq + bd, aq + cd, bq + ad, bq + cd, cq + ad, cq + bd) / 2, 3) AS loss FROM p", "line")
+def cit_loss(spark, d):
+    s, e = line_estimates(spark, d)
+    return network.invariant_loss(s.where("label in ('a', 'b')"), e, ["a", "b"], ["c", "a", "b"]).withColumn("loss", F.round("loss", 3))
+
+
 # Files
 
 @query("WITH h AS (SELECT source directory, sha256(text) file_hash FROM documents) SELECT directory, sha256(string_agg(file_hash, '' ORDER BY file_hash)) AS directory_hash FROM h GROUP BY directory")
@@ -525,8 +560,6 @@ def flagship(spark, sf_dir):
 
 def _separated(method):
     def run(spark, d):
-        from ..operators import kernels
-
         return kernels.separate(sig(spark, d).drop("label"), method, 8000, L, H)
 
     return run
@@ -534,3 +567,24 @@ def _separated(method):
 
 for _name in ("rpca", "ft2d", "nmf"):
     QUERIES[f"separate_{_name}"] = _separated(_name)
+
+
+def separate_ica(spark, d):
+    """Independent components of the two channels."""
+    return kernels.by_item(views.line_stereo(spark, d), kernels.fast_ica)
+
+
+def low_pass(spark, d):
+    return kernels.by_item(sig(spark, d).drop("label"), lambda x: kernels.by_channel(x, kernels.biquad, 8000, "low", 1000))
+
+
+def high_pass(spark, d):
+    return kernels.by_item(sig(spark, d).drop("label"), lambda x: kernels.by_channel(x, kernels.biquad, 8000, "high", 1000))
+
+
+def resample(spark, d):
+    return kernels.by_item(sig(spark, d).drop("label"), lambda x: kernels.by_channel(x, kernels.resample, 8000, 4000))
+
+
+for _f in (separate_ica, low_pass, high_pass, resample):
+    QUERIES[_f.__name__] = _f
