@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from wavelattice.llm import queries
+from wavelattice.llm import queries, simhash
 
 SF = "/root/testdata/sf0.001"
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -53,6 +53,45 @@ def test_simhash_near_dedup(spark, texts):
     assert got == {k: (f"{prints[k]:016x}", root(k)) for k in ids}
 
 
+def test_deduplicate_by_five_word_shingles(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    base = [f"w{k}" for k in range(400)]
+    rows = [(r.doc_id, r.text) for r in rows]
+    for k in range(1, 9):  # from one to eight words in 400 replaced: similarities around 0.8
+        rows.append((10_000 + k, " ".join(f"x{k}{i}" if i % (400 // k) == 7 else w for i, w in enumerate(base))))
+    rows += [(20_000, "one two three"), (None, "One  two three"), (20_000, "one two three"), (20_000, "four five"), (None, "six seven"), (None, "six seven"), (20_001, None), (20_002, " ")]
+    sets = []
+    for _, t in rows:
+        words = WORD.findall((t or "").translate(UPPER))
+        sets.append(frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset())
+    label = list(range(len(rows)))
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    holding, near = defaultdict(list), 0
+    for i, s in enumerate(sets):
+        shared = Counter(j for g in s or [None] for j in holding[g])
+        for j, n in shared.items():
+            if not s or 5 * n >= 4 * (len(s) + len(sets[j]) - n):
+                label[root(i)] = root(j)
+                near += s != sets[j]
+        for g in s or [None]:
+            holding[g].append(i)
+    groups = defaultdict(list)
+    for k in range(len(rows)):
+        groups[root(k)].append(rows[k])
+    want = Counter()
+    for members in groups.values():
+        ids = [m[0] for m in members if m[0] is not None]
+        want[min(ids) if ids else None] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(r.doc_id for r in simhash.deduplicate(docs).collect())
+    assert near >= 12 and got == want and simhash.deduplicate(docs.limit(0)).count() == 0
+
+
 def test_line_dedup(spark, texts):
     units = [(k, n, frozenset(w for w in re.split(r"[\x20\x09-\x0D]+", u.lower()) if w)) for k in sorted(texts) for n, u in enumerate((texts[k] or "").split("\n"))]
     units = [u for u in units if u[2]]

@@ -33,6 +33,8 @@ SEED = 42
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 #: Rows whose one-byte counters can be added without overflow.
 _STEP = 255
+#: Bits of the parity sketch of a shingle set.
+SKETCH = 1024
 
 
 def words(text: str | None) -> list[bytes]:
@@ -110,12 +112,92 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2)
     )
 
 
-def deduplicate(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
-    """docs with one document of each group kept: the one of the smallest doc_id.
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """The different shingles of n words as sorted 64-bit hashes."""
+    grams = set(shingles(words(text), n))
+    return np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
 
-    Rows without a doc_id are kept where their group has no doc_id at all;
-    repeated rows of one doc_id are one document and stay together.
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.col("text").cast("string"))})
+
+
+def shingle_prefixes(keyed: DataFrame, n: int) -> DataFrame:
+    """(_id, _text, node, n, prefix, sketch) by row: node is a digest of the shingle set, n its size.
+
+    Sets that share four fifths of their union share a hash among the smallest
+    fifth (and one more) of each; these are the prefix. Each hash flips one bit
+    of the sketch, so sets differ in at least as many hashes as their sketches in bits.
+    """
+
+    def run(batches):
+        for batch in batches:
+            nodes, sizes, prefixes, sketches = [], [], [], []
+            for text in batch.column(2):
+                have = shingle_set(text.as_py(), n)
+                nodes.append(xxh64_intdigest(have.tobytes(), SEED))
+                sizes.append(len(have))
+                prefixes.append(have[: len(have) - -(-4 * len(have) // 5) + 1].view(np.int64))
+                odd = np.bincount((have % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+                sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            node = pa.array(np.array(nodes, np.uint64).view(np.int64))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (prefixes, sketches)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], node, pa.array(sizes, pa.int64()), *lists], names=["_id", "_text", "node", "n", "prefix", "sketch"])
+
+    return keyed.select("_id", "_text", F.col("text").cast("string").alias("text")).mapInArrow(run, "_id long, _text long, node long, n long, prefix array<long>, sketch array<long>")
+
+
+def shingle_candidates(sets: DataFrame) -> DataFrame:
+    """(u, v), u < v, of sets (node, n, prefix; a row each): all pairs whose Jaccard similarity can be 0.8.
+
+    At a pair's first common hash, what follows it in either set bounds the
+    overlap, which has to be 4/9 of the two sizes together.
+    """
+    keys = sets.select("node", "n", F.posexplode("prefix").alias("rank", "key")).select("node", "n", (F.col("n") - F.col("rank")).alias("left"), "key")
+    a, b = (keys.select("key", *(F.col(c).alias(x + c) for c in ("node", "n", "left"))) for x in "ab")
+    enough = 9 * F.least("aleft", "bleft") >= 4 * (F.col("an") + F.col("bn"))
+    return a.join(b, (a["key"] == b["key"]) & (F.col("anode") < F.col("bnode")) & enough).select(F.col("anode").alias("u"), F.col("bnode").alias("v")).distinct()
+
+
+def shingle_links(keyed: DataFrame, prefixes: DataFrame, n: int) -> DataFrame:
+    """(u, v), u < v: pairs of different shingle sets with a Jaccard similarity of 0.8 or more."""
+    first = prefixes.groupBy("node").agg(F.min_by(F.struct("_id", "_text", "n", "prefix", "sketch"), F.struct("_id", "_text")).alias("f")).select("node", "f.*")
+    first = cut(first)
+    a, b = (first.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
+    bits = F.aggregate(F.zip_with("su", "sv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    pairs = cut(shingle_candidates(first).join(a, "u").join(b, "v").where(9 * bits <= F.col("nu") + F.col("nv")).select("u", "v"))
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(first, "node").select("node", F.col("_id").alias("id_"), F.col("_text").alias("text_"))
+    texts = keyed.select("_id", "_text", F.col("text").cast("string").alias("text"))
+    texts = texts.join(wanted, texts["_id"].eqNullSafe(wanted["id_"]) & (texts["_text"] == wanted["text_"])).select("node", "text")
+
+    def run(batches):
+        for batch in batches:
+            have = [shingle_set(t.as_py(), n).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(have, pa.list_(pa.int64()))], names=["node", "have"])
+
+    sets = cut(texts.mapInArrow(run, "node long, have array<long>").dropDuplicates(["node"]))
+    a, b = sets.select(F.col("node").alias("u"), F.col("have").alias("x")), sets.select(F.col("node").alias("v"), F.col("have").alias("y"))
+    return pairs.join(a, "u").join(b, "v").where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v")
+
+
+def deduplicate(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
+    """docs with exactly one row of each group of near copies kept: the one of the smallest doc_id.
+
+    Near copies have a Jaccard similarity of 0.8 or more between their sets of
+    shingles, and groups are connected by such pairs. Pairs of 0.8 differ in
+    some ten of 64 fingerprint bits, often in far more, so no bound on bits finds
+    all of them: candidates are joined by their shingles instead, none is left
+    out, and each is verified on the sets of its texts.
+
+    A row without a doc_id stays only where its group has no doc_id at all; of
+    rows with one doc_id the text hash decides, of repeated rows any one stays.
+    Texts without words are one group.
     """
-    found = near_duplicates(docs, shingle_words, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    keyed = _keyed(docs)
+    prefixes = cut(shingle_prefixes(keyed, shingle_words))
+    found = connected_components(shingle_links(keyed, prefixes, shingle_words))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id_"), F.col("_text").alias("text_"))).alias("first")
+    nodes = prefixes.groupBy("node").agg(first).join(found.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left")
+    keep = nodes.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first")).select("first.id_", "first.text_")
+    kept = keyed.join(keep, keyed["_id"].eqNullSafe(keep["id_"]) & (keyed["_text"] == keep["text_"]), "left_semi")
+    return kept.dropDuplicates(["_id", "_text"]).select(docs.columns)
