@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,15 @@ def test_licence_notice(docs):
     assert got[9].notice_licenses == "MIT" and got[7].n_notices == 0
 
 
+def test_whole_licences(spark):
+    missing = {"CC-BY-4.0", "CC-BY-NC-4.0"}  # known as notices only
+    names = sorted((set(licenses.NOTICES) - missing) | {"LGPL-2.1", "LGPL-3.0", "MPL-2.0"})
+    folder = Path(licenses.__file__).parent / "license_texts"
+    rows = [(k, "Copyright (c) 2019 Some Owner\n" + (folder / f"{n}.txt").read_text().upper().replace("\n", "  \n") if n != "MIT" else licenses.TEXTS[n]) for k, n in enumerate(names)]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(names)) and not missing & set(licenses.TEXTS)
+
+
 def test_lines(docs):
     kept = line_dedup.deduplicate(docs)
     assert kept.columns == docs.columns and kept.count() == len(ROWS)

@@ -6,8 +6,8 @@ digits becomes a single space. Its digest is joined with the digests of known
 licences made canonical the same way. Two kinds of text are looked up: a
 document as a whole, and each of its lines as a whole (licence notices).
 
-The known licences are a list in this module (or a caller's, of at most
-MAX_KNOWN rows), so broadcasting their digests is bounded. Lines without a match are
+The known licences are a list in this module and the files of license_texts
+(and a caller's; at most MAX_KNOWN in all), so broadcasting their digests is bounded. Lines without a match are
 dropped before the shuffle, but for the partial row of their document.
 
 Defined results: null and empty texts have no licence; all rows of one doc_id
@@ -17,6 +17,8 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,9 @@ Permission to use, copy, modify, and/or distribute this software for any purpose
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
 }
 
+#: The longer ones, a file each.
+TEXTS |= {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
 
 def canonical(text: Column) -> Column:
     out = F.lower(F.regexp_replace(text, COPYRIGHT_LINE, ""))
