@@ -149,6 +149,12 @@ def test_whole_licences(spark):
     assert got == dict(enumerate(names)) and not missing & set(licenses.TEXTS)
 
 
+def test_padded_licence_notice(spark):
+    rows = [(1, "*" * 400 + " Released under the MIT License. " + "*" * 400), (2, " " * 500 + "Licensed under CC BY 4.0"), (3, prose(200))]
+    got = {r.doc_id: r.notice_licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "MIT", 2: "CC-BY-4.0", 3: ""}
+
+
 def test_lines(docs):
     kept = line_dedup.deduplicate(docs)
     assert kept.columns == docs.columns and kept.count() == len(ROWS)

@@ -102,12 +102,10 @@ def scan(docs: DataFrame, extra: list[tuple[str, str]] | None = None) -> DataFra
     """Per document: doc_id, license_id (whole text, else null), notice_licenses (sorted, comma-joined), n_notices, digest."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(canonical(text)).alias("whole"), F.split(text, "\n").alias("lines"))
-    # Only lines that could be a notice by length are made canonical: the longest known text bounds them.
-    longest = 4 * max(len(t) for ts in NOTICES.values() for t in ts) if not extra else 1 << 30
     units = base.select(
         "doc_id",
         "whole",
-        F.explode(F.concat(F.array(F.struct(F.lit(True).alias("all"), F.lit("").alias("unit"))), F.transform(F.filter("lines", lambda x: F.length(x).between(1, longest)), lambda x: F.struct(F.lit(False).alias("all"), x.alias("unit"))))).alias("u"),
+        F.explode(F.concat(F.array(F.struct(F.lit(True).alias("all"), F.lit("").alias("unit"))), F.transform(F.filter("lines", lambda x: F.length(x) >= 1), lambda x: F.struct(F.lit(False).alias("all"), x.alias("unit"))))).alias("u"),
     ).select("doc_id", F.col("u.all").alias("all"), F.when(F.col("u.all"), F.col("whole")).otherwise(F.md5(canonical(F.col("u.unit")))).alias("digest"))
     found = units.join(F.broadcast(known(docs.sparkSession, extra)), F.col("digest") == F.col("known"), "left").where("all or license_id is not null")
     return found.groupBy("doc_id").agg(
