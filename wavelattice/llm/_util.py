@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: a few MB of ordinary text, tens of MB of very long ones.
 ARROW_ROWS = 1000
+#: Rows that may be broadcast, after they were counted (some 100 bytes each).
+FEW = 200_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, and a checkpoint folder where the cluster names none (as in tests)."""
+    """Sets small Arrow batches for the session (the caller's setting is replaced), and see shared_folder."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    shared_folder(spark)
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where none is set, a local master gets a temporary one; a cluster is an error."""
+    place, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
+        if not place:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            place = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(place)
+    return place or known.get()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -29,13 +45,55 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables written as Parquet to the shared folder, so that readers take only the columns they need."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top = prepare(spark), f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.top}/{name}")
+        release(self.spark)
+        return self.spark.read.schema(df.schema).parquet(f"{self.top}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more; all of them if none is named."""
+        for path in [f"{self.top}/{name}" for name in names] or [self.top]:
+            delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps that are over; else they wait for the driver's next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def few(df: DataFrame, bound: int = FEW) -> DataFrame:
+    """df, marked for broadcast if it has at most `bound` rows; df is a table that is cheap to count."""
+    return F.broadcast(df) if df.count() <= bound else df
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like `name` that is not among columns, whatever their case."""
+    have = {c.lower() for c in columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label): label is the smallest node reachable over edges (u, v); nodes are longs.
 
     Alternates large-star and small-star steps, so a chain of n nodes needs
     about log(n) rounds and a hub is a min() with map-side combine, never a
     collected neighbour list. Each round is checkpointed; only counts come to
-    the driver.
+    the driver. Should max_rounds not suffice, it raises RuntimeError.
     """
     flow = cut(
         edges.where(F.col("u") != F.col("v"))
@@ -63,3 +121,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return flow.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         flow.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     )
+
+
+def document_key(docs: DataFrame) -> list[Column]:
+    """k0 and k1: doc_id as a long (null comes first) and a hash of the text; rows alike in both are one document."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k0"), F.xxhash64(F.col("text").cast("string")).alias("k1")]
