@@ -54,7 +54,7 @@ def test_one_row_per_row_and_empty_tables(docs, empty, benchmark, tmp_path):
     toxic = toxicity.Model({b"bad": 3.0})
     made = {
         "toxicity": lambda d: toxicity.score(d, toxic), "language": lambda d: language_id.identify(d, model()), "quality": quality.quality, "simhash": simhash.near_duplicates,
-        "decontamination": lambda d: decontamination.scan_documents(d, benchmark), "substring": substring_dedup.remove_lines, "suffix": suffix_dedup.remove_repeats,
+        "decontamination": lambda d: decontamination.scan_documents(d, benchmark), "substring": substring_dedup.remove_units, "suffix": suffix_dedup.remove_repeats,
     }
     for name, f in made.items():
         assert f(docs).count() == len(ROWS), name

@@ -49,8 +49,11 @@ def op5_suffix_array_dedup(spark, sf_dir):
 
 
 def op6_substring_dedup(spark, sf_dir):
-    found = substring_dedup.remove_lines(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_removed", F.length("kept").cast("long").alias("n_kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
+    found = substring_dedup.remove_units(read(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id", "n_units", "n_repeats", "n_removed", spans.alias("removed_spans"), F.length("kept").cast("long").alias("n_kept_chars"), F.sha2("kept", 256).alias("kept_sha256")
+    )
 
 
 def op7_simhash_near_dedup(spark, sf_dir):
@@ -125,26 +128,28 @@ def _canonical(expression):
 
 
 _KNOWN = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in [(k, t) for k, ts in licenses.NOTICES.items() for t in ts] + list(licenses.TEXTS.items()))
-_LONGEST = 4 * max(len(t) for ts in licenses.NOTICES.values() for t in ts)
 
 OP3 = f"""
 WITH known AS (SELECT digest, min(license_id) license_id FROM (SELECT {_canonical("t")} digest, license_id FROM (VALUES {_KNOWN}) v(license_id, t)) GROUP BY digest),
 d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
 u AS (SELECT doc_id, true whole, {_canonical("t")} digest FROM d
-  UNION ALL SELECT doc_id, false, {_canonical("line")} FROM (SELECT doc_id, unnest(string_split(t, chr(10))) line FROM d) WHERE length(line) BETWEEN 1 AND {_LONGEST})
+  UNION ALL SELECT doc_id, false, {_canonical("line")} FROM (SELECT doc_id, unnest(string_split(t, chr(10))) line FROM d) WHERE length(line) >= 1)
 SELECT doc_id, min(license_id) FILTER (WHERE whole) license_id,
   coalesce(string_agg(DISTINCT license_id, ',' ORDER BY license_id) FILTER (WHERE NOT whole), '') notice_licenses,
   count(license_id) FILTER (WHERE NOT whole) n_notices, min(digest) FILTER (WHERE whole) digest
 FROM u LEFT JOIN known USING (digest) GROUP BY doc_id"""
 
 OP6 = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
-l AS (SELECT doc_id, i, len(ls) n, ls[i] line, list_filter(regexp_split_to_array(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_S}), lambda x: x <> '') ws
-  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) i FROM (SELECT doc_id, string_split(t, chr(10)) ls FROM d))),
-r AS (SELECT doc_id, i, n, line, len(ws) >= {substring_dedup.MIN_WORDS} AND row_number() OVER (PARTITION BY array_to_string(ws, ' ') ORDER BY doc_id, i) > 1 gone FROM l),
-k AS (SELECT doc_id, max(n) n_lines, count(*) FILTER (WHERE gone) n_removed,
-  coalesce(string_agg(CASE WHEN i < n THEN line || chr(10) ELSE line END, '' ORDER BY i) FILTER (WHERE NOT gone), '') kept FROM r GROUP BY doc_id)
-SELECT doc_id, CAST(n_lines AS BIGINT) n_lines, n_removed, CAST(length(kept) AS BIGINT) n_kept_chars, sha256(kept) kept_sha256 FROM k"""
+WITH d AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '({substring_dedup.CUT})', '\\1' || chr(57344), 'g'), chr(57344)) us FROM documents),
+u AS (SELECT doc_id, i, len(us) n, us[i] u, list_sum(list_transform(us[1:i], lambda x: length(x))) b,
+  list_filter(regexp_split_to_array(translate(us[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_S}), lambda x: x <> '') ws
+  FROM (SELECT doc_id, us, unnest(range(1, len(us) + 1)) i FROM d)),
+r AS (SELECT doc_id, i, n, u, b, len(ws) >= {substring_dedup.MIN_WORDS} AND count(*) OVER w > 1 twice, len(ws) >= {substring_dedup.MIN_WORDS} AND row_number() OVER (w ORDER BY doc_id, i) > 1 gone
+  FROM u WINDOW w AS (PARTITION BY array_to_string(ws, ' '))),
+k AS (SELECT doc_id, max(n) n_units, count(*) FILTER (WHERE twice) n_repeats, count(*) FILTER (WHERE gone) n_removed,
+  coalesce(string_agg(CAST(b - length(u) AS BIGINT) || '-' || CAST(b AS BIGINT), ',' ORDER BY i) FILTER (WHERE gone), '') removed_spans,
+  coalesce(string_agg(u, '' ORDER BY i) FILTER (WHERE NOT gone), '') kept FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(n_units AS BIGINT) n_units, n_repeats, n_removed, removed_spans, CAST(length(kept) AS BIGINT) n_kept_chars, sha256(kept) kept_sha256 FROM k"""
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
