@@ -4,7 +4,7 @@ Each document's ids are projected (a fixed random vector per id, averaged) to
 DIMS numbers, squashed to a grid, and given the cell's place on a Hilbert
 curve. Documents are range-partitioned and sorted by that key, with the
 document's own hash as a further key so that a third of equal documents spreads
-over partitions, and laid end to end within each partition. A sequence is cut at `length` ids. What
+over partitions of some PART bytes, and laid end to end within each partition. A sequence is cut at `length` ids. What
 is left at a partition's end is cut into powers of two, which need no padding,
 so no sequence is padded.
 
@@ -19,7 +19,9 @@ other columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import math
 import re
 from zlib import crc32
 
@@ -36,12 +38,15 @@ from ._util import cut
 DIMS, BITS = 3, 16
 END = 1
 _DOUBLE = re.compile(r"\s\s")
+_SPACE = re.compile(r"\s")
 #: ASCII marks, none of which is a letter, a digit or white space.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Words remembered by a worker (some 150 bytes each).
-MEMO = 700_000
-#: Characters of text that are looked up at a time.
-CHUNK = 1 << 22
+#: Words remembered by a worker (some 200 bytes each).
+MEMO = 1_000_000
+#: Characters of text that are looked up at a time, and words that are encoded as one text.
+CHUNK, RUN = 1 << 23, 4000
+#: Bytes of ids in a partition that is packed.
+PART = 32 << 20
 
 
 def _within_a_word(token: dict) -> bool:
@@ -50,6 +55,76 @@ def _within_a_word(token: dict) -> bool:
     return not re.search(r"\s", content) and content[0] in MARKS and content.strip(MARKS) != "" and not token["lstrip"] and not token["rstrip"]
 
 
+class Words:
+    """Ids of words with a given text before each of them; a word is encoded when it is first met."""
+
+    def __init__(self, encode, before: str, line_break: int, kind: np.dtype, marks: Words | None = None):
+        """marks: knows the marks after a word, which are encoded apart from its letters; by default this one."""
+        self.encode, self.before, self.line_break, self.kind, self.marks = encode, before, line_break, kind, marks or self
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.pool, self.bounds = np.empty(0, self.kind), np.zeros(1, np.int64)
+
+    def _add(self, words: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
+        first = len(self.place)
+        self.place.update(zip(words, range(first, first + len(words)), strict=True))
+        self.pool = np.concatenate([self.pool, flat])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(counts)])
+
+    def _encoded(self, words: list[str]) -> None:
+        """Adds words: those without white space as lines of one text, as no token reaches over a line break."""
+        odd = [w for w in words if not w or _SPACE.search(w)]
+        plain = [w for w in words if w and not _SPACE.search(w)] if odd else words
+        order, flat, counts = [], [np.empty(0, self.kind)], [np.empty(0, np.int64)]
+        runs = [plain[k : k + RUN] for k in range(0, len(plain), RUN)]
+        for run, got in zip(runs, self.encode(["\n".join([self.before + w for w in run]) for run in runs]), strict=True):
+            breaks = np.flatnonzero(got == self.line_break)
+            if len(breaks) == len(run) - 1:
+                order += run
+                flat.append(np.delete(got, breaks))
+                counts.append(np.diff(np.concatenate([[-1], breaks, [len(got)]])) - 1)
+            else:
+                odd += run
+        for w, got in zip(odd, self.encode([self.before + w for w in odd]), strict=True):
+            order.append(w)
+            flat.append(got)
+            counts.append(np.array([len(got)]))
+        self._add(order, np.concatenate(flat), np.concatenate(counts))
+
+    def _learn(self, words: list[str]) -> None:
+        ended, whole = [], []
+        for w in words:
+            letters = w.rstrip(MARKS)
+            if len(letters) < len(w) and letters.isalpha():
+                ended.append((w, letters, w[len(letters) :]))
+            else:
+                whole.append(w)
+        self._encoded(whole)
+        if ended:
+            words, letters, marks = zip(*ended, strict=True)
+            left, right = self(list(letters)), self.marks(list(marks))
+            ids = [np.empty(0, self.kind)]
+            for k, m in zip(left.tolist(), right.tolist(), strict=True):
+                ids.append(self.pool[self.bounds[k] : self.bounds[k + 1]])
+                ids.append(self.marks.pool[self.marks.bounds[m] : self.marks.bounds[m + 1]])
+            self._add(list(words), np.concatenate(ids), self.counts(left) + self.marks.counts(right))
+
+    def counts(self, places: np.ndarray) -> np.ndarray:
+        return self.bounds[places + 1] - self.bounds[places]
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        """Places of words in bounds."""
+        got = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(got < 0)
+        if len(unknown):
+            new = [words[k] for k in unknown.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            got[unknown] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
+        return got
+
+
 class Ids:
     """Token ids of texts as little-endian bytes; words met before are looked up.
 
@@ -63,64 +138,53 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and all(map(_within_a_word, spec.get("added_tokens") or []))
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([END], self.type).tobytes()
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words, each with the space before it, if any."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        parts: dict[str, tuple[str, str]] = {}
-        unknown: set[str] = set()
-        for w in words:
-            if w not in memo:
-                letters = w.rstrip(MARKS)
-                if len(letters) < len(w) and letters[letters[:1] == " " :].isalpha():
-                    parts[w] = letters, w[len(letters) :]
-                    unknown.update(parts[w])
-                else:
-                    unknown.add(w)
-        new = [w for w in unknown if w not in memo]
-        memo.update(zip(new, self._encode(new), strict=True))
-        return [memo[parts[w][0]] + memo[parts[w][1]] if w in parts else memo[w] for w in words]
+        line_break = self._encode(["\n"])[0]
+        self.by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and len(line_break) == 1 and all(map(_within_a_word, spec.get("added_tokens") or []))
+        self.bare = Words(self._encode, "", int(line_break[0]), self.type)
+        self.spaced = Words(self._encode, " ", int(line_break[0]), self.type, self.bare)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _by_words(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without neighbouring white space: each different word of all is looked up once."""
         lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n "), " ")
         first = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        bare = np.zeros(len(code), bool)  # no space before it: first of the text or of a line
+        code, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        bare = np.zeros(len(code), bool)  # no space before it: first of the text or of a line, or a line break
         bare[first[:-1]] = True
         if "\n" in words:
-            bare[1:] |= code[:-1] == words.index("\n")
-        key = code * 2 + bare
-        used = np.flatnonzero(np.bincount(key, minlength=2 * len(words)))
-        got = self._words([w if w == "\n" or k & 1 else " " + w for k, w in ((k, words[k >> 1]) for k in used.tolist())])
-        place = np.zeros(2 * len(words), np.int64)
-        place[used] = np.arange(len(used))
-        sizes = np.fromiter(map(len, got), np.int64, len(got)) // self.type.itemsize
-        starts, pool, at = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(got), self.type), place[key]
-        count = sizes[at]
-        ends = np.cumsum(count)
-        ids = pool[np.repeat(starts[at] - ends + count, count) + np.arange(ends[-1])]
+            breaks = code == words.index("\n")
+            bare[1:] |= breaks[:-1]
+            bare |= breaks
+        pools, starts, counts, before = [], np.empty(len(code), np.int64), np.empty(len(code), np.int64), 0
+        for known, here in ((self.bare, np.flatnonzero(bare)), (self.spaced, np.flatnonzero(~bare))):
+            used = np.flatnonzero(np.bincount(code[here], minlength=len(words)))
+            place = np.zeros(len(words), np.int64)
+            place[used] = known([words[k] for k in used.tolist()])
+            at = place[code[here]]
+            starts[here], counts[here] = known.bounds[at] + before, known.counts(at)
+            pools.append(known.pool)
+            before += len(known.pool)
+        ends = np.cumsum(counts)
+        ids = np.concatenate(pools)[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1])]
         bounds = np.concatenate([[0], ends])[first]
         return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        for known in (self.bare, self.spaced):
+            if len(known.place) > MEMO:
+                known.clear()
         out: list[bytes] = [b""] * len(texts)
         plain: list[int] = []
         for k, text in enumerate(texts):
             if self.by_word and not _DOUBLE.search(text):
                 plain.append(k)
             else:
-                out[k] = self._encode([text])[0]
+                out[k] = self._encode([text])[0].tobytes()
         if plain:
             for k, ids in zip(plain, self._by_words([texts[k] for k in plain]), strict=True):
                 out[k] = ids
@@ -171,19 +235,23 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = worker_ids(tokenizer_path)
         table = np.random.default_rng(7).standard_normal((encode.tokenizer.get_vocab_size(), DIMS), np.float32)
-        for batch in batches:
-            texts, held, size = batch.column(1).to_pylist(), [], 0
-            raw: list[bytes] = []
-            for text in texts:
-                held.append(text or "")
-                size += len(text or "")
-                if size > CHUNK:
-                    raw += encode(held)
-                    held, size = [], 0
-            raw += encode(held)
+        def coded(ids: list, texts: list[str]):
+            raw = encode(texts)
             vectors = np.array([table[np.frombuffer(r, encode.type)].mean(axis=0) for r in raw], np.float32).reshape(-1, DIMS)
             cells = np.minimum(((np.tanh(3 * vectors) + 1) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(hilbert(cells)), pa.array([encode.type.itemsize] * len(raw), pa.int32())], names=["doc_id", "ids", "curve", "width"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary()), pa.array(hilbert(cells)), pa.array([encode.type.itemsize] * len(raw), pa.int32())], names=["doc_id", "ids", "curve", "width"])
+
+        ids, held, size = [], [], 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                ids.append(doc.as_py())
+                held.append(text.as_py() or "")
+                size += len(held[-1])
+                if size > CHUNK:
+                    yield coded(ids, held)
+                    ids, held, size = [], [], 0
+        if held:
+            yield coded(ids, held)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, curve long, width int")
 
@@ -226,7 +294,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048) -> DataFrame:
     """
     ids = cut(tokenized(docs, tokenizer_path))
     salt = F.xxhash64("doc_id", "ids")
-    dealt = ids.withColumn("salt", salt).repartitionByRange("curve", "salt").sortWithinPartitions("curve", "salt", "doc_id")
+    parts = max(1, math.ceil((ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) / PART))
+    dealt = ids.withColumn("salt", salt).repartitionByRange(parts, "curve", "salt").sortWithinPartitions("curve", "salt", "doc_id")
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     names = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
