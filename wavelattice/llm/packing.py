@@ -26,8 +26,10 @@ import re
 from zlib import crc32
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +40,8 @@ from ._util import cut
 DIMS, BITS = 3, 16
 END = 1
 _DOUBLE = re.compile(r"\s\s")
-_SPACE = re.compile(r"\s")
+#: White space, and characters beyond Latin letters, whose classes may differ between libraries.
+_ODD = re.compile("[\\s\u0250-\U0010ffff]")
 #: ASCII marks, none of which is a letter, a digit or white space.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words remembered by a worker (some 200 bytes each).
@@ -55,12 +58,35 @@ def _within_a_word(token: dict) -> bool:
     return not re.search(r"\s", content) and content[0] in MARKS and content.strip(MARKS) != "" and not token["lstrip"] and not token["rstrip"]
 
 
+def ranked(spec: dict):
+    """A function from a text to its ids, by merge ranks alone; None unless the tokenizer (its JSON) is plain byte-level BPE.
+
+    It is the same vocabulary and the same merges, run by another library at a
+    third of the cost. Strings of added tokens are ordinary text to it.
+    """
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not spec.get("normalizer")
+    if not plain or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    # Printable bytes stand for themselves, the others for the characters from U+0100 on.
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    merges = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
+    tokens = [bytes([b]) for b in range(256)] + [bytes(byte[c] for c in "".join(pair)) for pair in merges]
+    ids = {bytes(byte[c] for c in token): k for token, k in model["vocab"].items() if all(c in byte for c in token)}
+    if len(set(tokens)) < len(tokens) or not ids.keys() >= set(tokens):
+        return None
+    table = np.array([ids[t] for t in tokens], np.int64)
+    encode = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: k for k, t in enumerate(tokens)}, special_tokens={}).encode_ordinary
+    return lambda text: table[encode(text)]
+
+
 class Words:
     """Ids of words with a given text before each of them; a word is encoded when it is first met."""
 
-    def __init__(self, encode, before: str, line_break: int, kind: np.dtype, marks: Words | None = None):
+    def __init__(self, ids: Ids, before: str, marks: Words | None = None):
         """marks: knows the marks after a word, which are encoded apart from its letters; by default this one."""
-        self.encode, self.before, self.line_break, self.kind, self.marks = encode, before, line_break, kind, marks or self
+        self.ids, self.before, self.kind, self.marks = ids, before, ids.type, marks or self
         self.clear()
 
     def clear(self) -> None:
@@ -75,19 +101,23 @@ class Words:
 
     def _encoded(self, words: list[str]) -> None:
         """Adds words: those without white space as lines of one text, as no token reaches over a line break."""
-        odd = [w for w in words if not w or _SPACE.search(w)]
-        plain = [w for w in words if w and not _SPACE.search(w)] if odd else words
+        special = self.ids.added
+        odd = [w for w in words if not w or _ODD.search(w) or any(x in w for x in special)]
+        if odd:
+            apart = set(odd)
+            words = [w for w in words if w not in apart]
         order, flat, counts = [], [np.empty(0, self.kind)], [np.empty(0, np.int64)]
-        runs = [plain[k : k + RUN] for k in range(0, len(plain), RUN)]
-        for run, got in zip(runs, self.encode(["\n".join([self.before + w for w in run]) for run in runs]), strict=True):
-            breaks = np.flatnonzero(got == self.line_break)
+        for k in range(0, len(words), RUN):
+            run = words[k : k + RUN]
+            got = self.ids.one("\n".join([self.before + w for w in run])).astype(self.kind)
+            breaks = np.flatnonzero(got == self.ids.line_break)
             if len(breaks) == len(run) - 1:
                 order += run
                 flat.append(np.delete(got, breaks))
                 counts.append(np.diff(np.concatenate([[-1], breaks, [len(got)]])) - 1)
             else:
                 odd += run
-        for w, got in zip(odd, self.encode([self.before + w for w in odd]), strict=True):
+        for w, got in zip(odd, self.ids.encode([self.before + w for w in odd]), strict=True):
             order.append(w)
             flat.append(got)
             counts.append(np.array([len(got)]))
@@ -140,12 +170,15 @@ class Ids:
         pre = spec.get("pre_tokenizer") or {}
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([END], self.type).tobytes()
-        line_break = self._encode(["\n"])[0]
+        self.added = [x["content"] for x in spec.get("added_tokens") or []]
+        self.one = ranked(spec) or (lambda text: self.encode([text])[0])
+        line_break = self.encode(["\n"])[0]
+        self.line_break = int(line_break[0])
         self.by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and len(line_break) == 1 and all(map(_within_a_word, spec.get("added_tokens") or []))
-        self.bare = Words(self._encode, "", int(line_break[0]), self.type)
-        self.spaced = Words(self._encode, " ", int(line_break[0]), self.type, self.bare)
+        self.bare = Words(self, "")
+        self.spaced = Words(self, " ", self.bare)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _by_words(self, texts: list[str]) -> list[bytes]:
@@ -184,7 +217,7 @@ class Ids:
             if self.by_word and not _DOUBLE.search(text):
                 plain.append(k)
             else:
-                out[k] = self._encode([text])[0].tobytes()
+                out[k] = self.encode([text])[0].tobytes()
         if plain:
             for k, ids in zip(plain, self._by_words([texts[k] for k in plain]), strict=True):
                 out[k] = ids
