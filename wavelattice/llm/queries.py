@@ -140,16 +140,19 @@ SELECT doc_id, min(license_id) FILTER (WHERE whole) license_id,
 FROM u LEFT JOIN known USING (digest) GROUP BY doc_id"""
 
 OP6 = f"""
-WITH d AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '({substring_dedup.CUT})', '\\1' || chr(57344), 'g'), chr(57344)) us FROM documents),
-u AS (SELECT doc_id, i, len(us) n, us[i] u, list_sum(list_transform(us[1:i], lambda x: length(x))) b,
-  list_filter(regexp_split_to_array(translate(us[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_S}), lambda x: x <> '') ws
-  FROM (SELECT doc_id, us, unnest(range(1, len(us) + 1)) i FROM d)),
-r AS (SELECT doc_id, i, n, u, b, len(ws) >= {substring_dedup.MIN_WORDS} AND count(*) OVER w > 1 twice, len(ws) >= {substring_dedup.MIN_WORDS} AND row_number() OVER (w ORDER BY doc_id, i) > 1 gone
-  FROM u WINDOW w AS (PARTITION BY array_to_string(ws, ' '))),
-k AS (SELECT doc_id, max(n) n_units, count(*) FILTER (WHERE twice) n_repeats, count(*) FILTER (WHERE gone) n_removed,
-  coalesce(string_agg(CAST(b - length(u) AS BIGINT) || '-' || CAST(b AS BIGINT), ',' ORDER BY i) FILTER (WHERE gone), '') removed_spans,
-  coalesce(string_agg(u, '' ORDER BY i) FILTER (WHERE NOT gone), '') kept FROM r GROUP BY doc_id)
-SELECT doc_id, CAST(n_units AS BIGINT) n_units, n_repeats, n_removed, removed_spans, CAST(length(kept) AS BIGINT) n_kept_chars, sha256(kept) kept_sha256 FROM k"""
+WITH RECURSIVE d AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '({substring_dedup.CUT})', '\\1' || chr(57344), 'g'), chr(57344)) ps FROM documents),
+p AS (SELECT doc_id, i, ps[i] p, list_filter(regexp_split_to_array(translate(ps[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_S}), lambda x: x <> '') ws
+  FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) i FROM d)),
+g AS (SELECT doc_id, i, len(ws) n, 0 place FROM p WHERE i = 1
+  UNION ALL SELECT doc_id, p.i, CASE WHEN cut THEN w ELSE n + w END, place + CAST(cut AS INTEGER)
+  FROM (SELECT g.doc_id, p.i, n, place, len(ws) w, n >= {substring_dedup.MIN_WORDS} OR (n > 0 AND len(ws) >= {substring_dedup.MIN_WORDS}) cut FROM g JOIN p ON p.doc_id = g.doc_id AND p.i = g.i + 1) p),
+u AS (SELECT doc_id, place, string_agg(p, '' ORDER BY i) u, flatten(list(ws ORDER BY i)) ws FROM g JOIN p USING (doc_id, i) GROUP BY doc_id, place),
+r AS (SELECT doc_id, place, u, sum(length(u)) OVER (PARTITION BY doc_id ORDER BY place) b, len(ws) >= {substring_dedup.MIN_WORDS} AND count(*) OVER w > 1 twice,
+  len(ws) >= {substring_dedup.MIN_WORDS} AND row_number() OVER (w ORDER BY doc_id, place) > 1 gone FROM u WINDOW w AS (PARTITION BY array_to_string(ws, ' '))),
+k AS (SELECT doc_id, count(*) n_units, count(*) FILTER (WHERE twice) n_repeats, count(*) FILTER (WHERE gone) n_removed,
+  coalesce(string_agg(CAST(b - length(u) AS BIGINT) || '-' || CAST(b AS BIGINT), ',' ORDER BY place) FILTER (WHERE gone), '') removed_spans,
+  coalesce(string_agg(u, '' ORDER BY place) FILTER (WHERE NOT gone), '') kept FROM r GROUP BY doc_id)
+SELECT doc_id, n_units, n_repeats, n_removed, removed_spans, CAST(length(kept) AS BIGINT) n_kept_chars, sha256(kept) kept_sha256 FROM k"""
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,

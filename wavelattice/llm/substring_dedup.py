@@ -1,14 +1,16 @@
-"""Substring dedup by hashing units of lines: of equal units the earliest stays.
-
-Each text is cut after every line break and, within lines, after white space
-that follows a full stop, an exclamation mark or a question mark, so a passage
-is found whatever stands around it in its line. A unit is normalised (A-Z
-lower-cased, ASCII white space made single) and digested (128 bits). Digests
-are grouped over the corpus with map-side partial aggregates, the earliest
-occurrence by (doc_id, text hash, place) is found as a minimum, and all others
-are removed with the white space after them. Offsets are characters of the
-original text. Units of fewer than MIN_WORDS words are never removed: shorter
-ones are mostly stock phrases that honest documents share.
+"""Substring dedup by hashing paragraphs of sentences: of equal units the earliest stays.
+
+Each text is cut after every line break and after white space that follows a
+full stop, an exclamation mark or a question mark. Pieces are gathered to units
+of MIN_WORDS words or more; a piece that has as many by itself stands alone. So
+the cuts depend on nearby text only, and a passage is found whatever stands
+around it. A unit is normalised (A-Z lower-cased, ASCII white space made
+single) and digested (128 bits). Digests are grouped over the corpus with
+map-side partial aggregates, the earliest occurrence by (doc_id, text hash,
+place) is found as a minimum, and all others are removed with the white space
+after them. Offsets are characters of the original text. Units that stay
+shorter (before a long piece, at the end) are never removed: such are mostly
+stock phrases that honest documents share.
 
 A digest held by a third of all units is one aggregated row; that table is
 written before it is joined with its units, so that adaptive execution can
@@ -32,7 +34,7 @@ from xxhash import xxh3_128_digest
 
 from ._util import Scratch, document_key
 
-MIN_WORDS = 15
+MIN_WORDS = 20
 #: Where a text is cut: after what this finds.
 CUT = r"[.!?][\x20\x09-\x0D]+|\n"
 _CUT = re.compile(CUT)
@@ -40,11 +42,18 @@ _CUT = re.compile(CUT)
 
 def units(text: str):
     """(place, digest or None for a short unit, start, end), with the white space after a unit in its span."""
-    at, place = 0, 0
+    start, at, place, held = 0, 0, 0, []
+
+    def unit():
+        return place, (xxh3_128_digest(b" ".join(held)) if len(held) >= MIN_WORDS else None), start, at
+
     for end in [*(m.end() for m in _CUT.finditer(text)), len(text)]:
         words = text[at:end].encode().lower().split()
-        yield place, (xxh3_128_digest(b" ".join(words)) if len(words) >= MIN_WORDS else None), at, end
-        at, place = end, place + 1
+        if len(held) >= MIN_WORDS or (held and len(words) >= MIN_WORDS):
+            yield unit()
+            start, place, held = at, place + 1, []
+        held, at = held + words, end
+    yield unit()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -90,7 +99,7 @@ def remove_units(docs: DataFrame) -> DataFrame:
                 for a, b in spans:
                     pieces.append(text[last:a])
                     last = b
-                out.append((sum(1 for _ in _CUT.finditer(text)) + 1, len(want), len(spans), [{"start": a, "end": b} for a, b in spans], "".join([*pieces, text[last:]])))
+                out.append((sum(1 for _ in units(text)), len(want), len(spans), [{"start": a, "end": b} for a, b in spans], "".join([*pieces, text[last:]])))
             cols = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 
