@@ -165,3 +165,23 @@ def test_lines(docs):
 def test_quality(docs):
     got = {r.doc_id: r for r in quality.quality(docs).collect()}
     assert got[7].kept and not got[4].kept and got[4].n_words == 0 and got[10].n_words == 1
+
+
+def test_common_prefixes():
+    import numpy as np
+
+    from wavelattice.llm.suffix_order import common_prefixes
+
+    for _ in range(60):
+        data = bytes(R.choice(b"ab\x00\xff") for _ in range(R.randint(1, 200)))
+        order = suffix_array(np.frombuffer(data, np.uint8), 24)
+        for a, b, n in zip(order, order[1:], common_prefixes(np.frombuffer(data, np.uint8), order, 24), strict=False):
+            x, y = data[a : a + 24], data[b : b + 24]
+            assert n == next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+
+
+def test_shared_passage(spark):
+    passage = prose(70)
+    rows = [(1, prose(50) + passage), (2, passage + prose(90)), (3, prose(200)), (4, passage[:150]), (5, None), (None, passage), (None, "")]
+    got = [(r.doc_id, r.shares_passage) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, True), (2, True), (3, False), (4, False), (5, False), (None, True), (None, False)]))

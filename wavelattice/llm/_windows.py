@@ -19,14 +19,21 @@ _TABLE = np.random.default_rng(0x5A).integers(0, 1 << 64, 256, np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes at each position (by doubling)."""
-    h, size = _TABLE[data], 1
-    while size < GRAM:
-        mixed = (h[:-size] ^ (h[:-size] >> np.uint64(29))) * _MIX
-        h = mixed + h[size:]
+def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Hash of the `gram` bytes at each position: by doubling, and parts of unequal size put together."""
+    part, size, out, done = _TABLE[data], 1, None, 0
+    count = len(data) - gram + 1
+    if count <= 0:
+        return np.empty(0, np.uint64)
+    while True:
+        if gram & size:
+            here = part[done : done + count]
+            out = here if out is None else (out ^ (out >> np.uint64(29))) * _MIX + here
+            done += size
+        if done == gram:
+            return (out ^ (out >> np.uint64(32))) * _MIX
+        part = (part[:-size] ^ (part[:-size] >> np.uint64(29))) * _MIX + part[size:]
         size *= 2
-    return (h ^ (h >> np.uint64(32))) * _MIX
 
 
 def window_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -56,3 +63,17 @@ def segments(raw: bytes, width: int):
             out_s.append(xxh3_64_intdigest(raw[at + lo : at + hi + width - 1]))
     anchors = np.concatenate(out_a) if out_a else np.empty(0, np.uint64)
     return anchors.view(np.int64), np.array(out_s, np.uint64).view(np.int64), out_lo, out_n
+
+
+def marks(raw: bytes, gram: int, passage: int) -> np.ndarray:
+    """Hashes of selected strings of `gram` bytes: equal strings of `passage` bytes have one in common.
+
+    In each run of passage - gram + 1 neighbouring strings the one of least hash is selected.
+    """
+    wide, out = passage - gram + 1, []
+    for at in range(0, max(len(raw) - passage + 1, 0), PIECE):
+        h = gram_hashes(np.frombuffer(raw, np.uint8, min(PIECE + passage - 1, len(raw) - at), at), gram)
+        keys = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
+        place = window_min(keys, wide) & _LOW
+        out.append(h[place[np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))].astype(np.int64)])
+    return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)

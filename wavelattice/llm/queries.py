@@ -45,7 +45,7 @@ def op4_benchmark_decontamination(spark, sf_dir):
 
 def op5_suffix_array_dedup(spark, sf_dir):
     found = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), width=400)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "shares_passage")
 
 
 def op6_substring_dedup(spark, sf_dir):

@@ -7,11 +7,15 @@
    as a whole, however many copies there are; one of them stands for all.
 3. Of anchors with two or more different segments, one segment of each kind is
    fetched from its text and ordered in blocks by two-stage suffix sorting
-   (suffix_order.py); neighbours with `width` bytes in common are repeats.
+   (suffix_order.py); neighbours whose common prefix has `width` bytes are repeats.
 4. An anchor of more than HOT different segments is split over blocks by
    digest. What is single within a block is then matched across blocks by the
    digest of its window, so no group is held by one task.
 
+Anchors and digests of 64 bits each are used together: segments count as equal
+if both agree. Apart from removal, documents that share a shorter passage with
+another one are marked (passages).
+
 Positions are bytes of the UTF-8 text; matches never cross documents.
 
 Defined results: null and empty texts have no bytes, nothing to remove and the
@@ -26,26 +30,26 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 from zstandard import ZstdCompressor, ZstdDecompressor
 
-from ._util import cut
-from ._windows import segments
-from .suffix_order import alike_neighbours, suffix_array
+from ._util import Scratch, document_key
+from ._windows import marks, segments
+from .suffix_order import common_prefixes, suffix_array
 
 #: Different segments of one anchor that one block takes (some 550 bytes each, so 4 MB of text to sort).
 HOT = 8000
+#: Bytes of a passage that a document shares with another (some 50 words), and of the strings that tell.
+PASSAGE, MARK = 300, 160
 #: Bytes of a block, but for its last group.
 BLOCK = 2 << 20
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
-        "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k0"), F.xxhash64("text").alias("k1"), "text"
-    )
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", *document_key(docs), "text")
 
 
 def _shrunk(keyed: DataFrame) -> DataFrame:
@@ -127,7 +131,7 @@ def block_repeats(rows: list[dict], width: int):
         starts[b : b + r["n"]] = True
     order = suffix_array(data, width)
     order = order[starts[order]]
-    alike = alike_neighbours(data, order, width)
+    alike = common_prefixes(data, order, width) >= width
     repeated = np.zeros(len(data), bool)
     repeated[order[:-1][alike]] = True
     repeated[order[1:][alike]] = True
@@ -179,53 +183,87 @@ def _sorted_blocks(fetched: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
+def passages(docs: DataFrame, scratch: Scratch, passage: int = PASSAGE, gram: int = MARK) -> DataFrame:
+    """(k0, k1) of documents that share a passage with another one.
+
+    Every string of `passage` bytes that also stands in another document is
+    found; a common string of `gram` bytes is enough to count.
+    """
+    names = ["k0", "k1", "mark"]
+
+    def run(batches):
+        for batch in batches:
+            keys, sizes, found = [], [], []
+            for text in batch.column(2):
+                found.append(marks(text.as_py().encode(), gram, passage))
+                sizes.append(len(found[-1]))
+            for k in range(2):
+                keys.append(pa.array(np.repeat(batch.column(k).to_numpy(), sizes)))
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=names)
+
+    found = scratch.store(_keyed(docs).select("k0", "k1", "text").mapInArrow(run, "k0 long, k1 long, mark long"), "marks")
+    doc = F.xxhash64("k0", "k1")
+    several = scratch.store(found.groupBy(F.col("mark").alias("m")).agg(F.min(doc).alias("a"), F.max(doc).alias("b")).where("a != b").select("m"), "several")
+    out = scratch.store(found.join(several, F.col("mark") == F.col("m")).select("k0", "k1").distinct(), "passages")
+    scratch.drop("marks", "several")
+    return out
+
+
 def repeats(docs: DataFrame, width: int = 400, hot: int = HOT) -> DataFrame:
     """(k0, k1, start, end): byte spans of repeated windows, by document key; spans may overlap."""
     if width < 128:
         raise ValueError("width is 128 bytes at least")
-    keyed = _keyed(docs)
-    found = cut(_segments(keyed, width))
-    kinds = found.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("k0", "k1", "lo", "n")).alias("one"))
-    several = kinds.groupBy(F.col("anchor").alias("a")).agg(F.count(F.lit(1)).alias("d")).where("d > 1")
+    scratch, keyed = Scratch(docs.sparkSession), _keyed(docs)
+    found = scratch.store(_segments(keyed, width), "segments")
+    kinds = found.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("k0", "k1", "lo", "n")).alias("one")).select("anchor", "digest", "m", "one.*")
+    kinds = kinds.withColumn("d", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("m > 1 or d > 1")
+    kinds = scratch.store(kinds, "kinds")
+    # One row a kind, written before the join, so that adaptive execution can split the segments of a hot one.
     copies = kinds.where("m > 1").select(F.col("anchor").alias("a"), F.col("digest").alias("s"))
     whole = found.join(copies, (F.col("anchor") == F.col("a")) & (F.col("digest") == F.col("s"))).select(
         "k0", "k1", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (width - 1)).alias("end")
     )
+    whole = scratch.store(whole, "whole")
+    scratch.drop("segments")
     parts = F.ceil(F.col("d") / F.lit(hot)).cast("int")
-    wanted = kinds.join(several, F.col("anchor") == F.col("a")).select(
-        "anchor", "digest", "m", "one.*", parts.alias("parts"), F.pmod(F.col("digest"), parts.cast("long")).cast("int").alias("salt")
+    wanted = kinds.where("d > 1").select(
+        "anchor", "digest", "m", "k0", "k1", "lo", "n", parts.alias("parts"), F.pmod(F.col("digest"), parts.cast("long")).cast("int").alias("salt")
     )
-    blocks = cut(_sorted_blocks(_fetch(keyed, wanted, width), width))
+    blocks = scratch.store(_sorted_blocks(_fetch(keyed, wanted, width), width), "blocks")
     open_ = blocks.where(F.col("window").isNotNull())
-    twice = open_.groupBy(F.col("anchor").alias("a"), F.col("window").alias("w")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    twice = scratch.store(open_.groupBy(F.col("anchor").alias("a"), F.col("window").alias("w")).agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "twice")
     across = open_.where(F.col("k0").isNotNull()).join(twice, (F.col("anchor") == F.col("a")) & (F.col("window") == F.col("w")))
     out = ["k0", "k1", "start", "end"]
     return whole.unionByName(blocks.where(F.col("window").isNull()).select(out)).unionByName(across.select(out))
 
 
 def remove_repeats(docs: DataFrame, width: int = 400, hot: int = HOT) -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, spans (removed [start, end) bytes) and kept (the bytes left)."""
-    by_text = repeats(docs, width, hot).groupBy(F.col("k0").alias("w0"), F.col("k1").alias("w1")).agg(F.collect_set(F.struct("start", "end")).alias("want"))
+    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, spans (removed [start, end) bytes), kept (the bytes left) and shares_passage (see passages)."""
+    shared = passages(docs, Scratch(docs.sparkSession)).select("k0", "k1", F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"))
+    by_text = repeats(docs, width, hot).unionByName(shared).groupBy(F.col("k0").alias("w0"), F.col("k1").alias("w1")).agg(F.collect_set(F.struct("start", "end")).alias("want"))
     joined = _shrunk(_keyed(docs)).join(by_text, (F.col("k0") == F.col("w0")) & (F.col("k1") == F.col("w1")), "left").select("doc_id", "raw", "want")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         unpack = ZstdDecompressor().decompress
         for batch in batches:
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(6)]
             for text, want in zip(batch.column(1), batch.column(2), strict=True):
                 raw = unpack(text.as_py())
                 runs: list[list[int]] = []
+                shares = False
                 for a, b in sorted((w["start"], w["end"]) for w in want.as_py() or ()):
-                    if runs and a <= runs[-1][1]:
+                    if a < 0:
+                        shares = True
+                    elif runs and a <= runs[-1][1]:
                         runs[-1][1] = max(b, runs[-1][1])
                     else:
                         runs.append([a, b])
                 edges = [0, *(x for r in runs for x in r), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                for c, v in zip(cols, (len(raw), len(raw) - len(kept), len(runs), [{"start": a, "end": b} for a, b in runs], kept), strict=True):
+                for c, v in zip(cols, (len(raw), len(raw) - len(kept), len(runs), [{"start": a, "end": b} for a, b in runs], kept, shares), strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), span, pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), span, pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "shares_passage"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, shares_passage boolean")

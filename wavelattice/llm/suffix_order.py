@@ -1,4 +1,4 @@
-"""Two-stage suffix sorting of one block of bytes, and adjacent common prefixes.
+"""Two-stage suffix sorting of one block of bytes, and lengths of adjacent common prefixes.
 
 Stage one sorts directly only the suffixes that are smaller than their
 successor (type S). Stage two induces all others (type L) by one scan over the
@@ -98,13 +98,18 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def alike_neighbours(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """For neighbours in order: do they have `depth` bytes in common? (one fewer than order)"""
+def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """For neighbours in order: how many bytes they have in common, counted up to depth (one number fewer than order)."""
+    n = len(data)
     words = words_at(np.concatenate([data, np.zeros(depth + 16, np.uint8)]))
-    out = np.zeros(max(len(order) - 1, 0), bool)
-    left = np.flatnonzero(np.maximum(order[:-1], order[1:]) + depth <= len(data))
-    steps = [*range(0, depth - 7, 8), depth - 8] if depth >= 8 else [0]
-    for at in steps:
-        left = left[words[order[left] + at] == words[order[left + 1] + at]]
-    out[left] = True
-    return out
+    room = np.minimum(n - np.maximum(order[:-1], order[1:]), depth)
+    out = np.minimum(np.zeros(len(room), np.int64), room)
+    left = np.arange(len(room))
+    for at in range(0, depth, 8):
+        unlike = words[order[left] + at] ^ words[order[left + 1] + at]
+        ends = unlike != 0
+        out[left[ends]] = at + (unlike[ends].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
+        left = left[~ends]
+        out[left] = at + 8
+        left = left[room[left] > at + 8]
+    return np.minimum(out, room)
