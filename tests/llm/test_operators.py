@@ -185,3 +185,46 @@ def test_shared_passage(spark):
     rows = [(1, prose(50) + passage), (2, passage + prose(90)), (3, prose(200)), (4, passage[:150]), (5, None), (None, passage), (None, "")]
     got = [(r.doc_id, r.shares_passage) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(map(str, got)) == sorted(map(str, [(1, True), (2, True), (3, False), (4, False), (5, False), (None, True), (None, False)]))
+
+
+def test_decontamination_in_blocks(spark, docs, benchmark):
+    items = benchmark.unionByName(spark.createDataFrame([(k, prose(12)) for k in range(10, 16)] + [(20, LONG[:200])], "item_id long, text string"))
+    one, two = (sorted(map(str, decontamination.scan_documents(docs, items, block_words=n).collect())) for n in (10**6, 20))
+    assert one == two and any("contaminated=True" in r for r in one)
+    left = [sorted(map(str, decontamination.decontaminate(docs, items, block_words=n).collect())) for n in (10**6, 20)]
+    assert left[0] == left[1]
+
+
+def test_empty_benchmark_and_documents(spark, docs, empty, benchmark):
+    none = benchmark.limit(0)
+    assert not any(r.contaminated for r in decontamination.scan_documents(docs, none).collect())
+    assert decontamination.decontaminate(docs, none).count() == len(ROWS) and decontamination.decontaminate(empty, benchmark).count() == 0
+
+
+CLASHING = "doc_id long, text string, n_chars long, score string, lang_pred string, rejected string, k0 string, w0 string, w1 string, lost string, row string, spans string, items string, n_words string, node string, have string, _id string, _text string, id_ string, text_ string, `a.b` string"
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(r[0], r[1], r[4], *["x"] * 18) for r in ROWS]
+    return spark.createDataFrame(rows, CLASHING)
+
+
+def test_pipeline_stages_keep_columns_of_any_name(clashing, benchmark):
+    for name, f in {
+        "accepted": lambda d: language_id.accepted(d, model()), "lines": line_dedup.deduplicate, "simhash": simhash.deduplicate, "decontaminate": lambda d: decontamination.decontaminate(d, benchmark),
+    }.items():
+        got = f(clashing)
+        assert got.columns == clashing.columns, name
+        assert got.count() > 0 and f(clashing.limit(0)).count() == 0, name
+        assert all(r["a.b"] == "x" and r["k0"] == "x" for r in got.collect()), name
+
+
+def test_language_letters_and_rejection():
+    rng = random.Random(3)
+    known = {"aa": "the of and to in is that for it with as was".split(), "bb": "der die und das nicht ein sich mit auf ist".split()}
+    text = lambda lang, n: " ".join(rng.choice(known[lang]) for _ in range(n))
+    m = language_id.train([(text(x, 80), x) for x in known for _ in range(150)])
+    lang, score, rejected = m.predict([None, "", "\u00b2 \u00bd \u2167 \u2460 12", text("aa", 60), text("bb", 60), "qxz zqj xxqz jjq wvq " * 20])
+    assert lang[:3] == ["und"] * 3 and not score[:3].any() and rejected[:3].all()
+    assert lang[3:5] == ["aa", "bb"] and not rejected[3:5].any() and rejected[5]

@@ -45,11 +45,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_FOLDERS: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables of Scratch so far; for callers that have written what was made of them."""
+    while _FOLDERS:
+        delete(spark, _FOLDERS.pop())
+
+
 class Scratch:
     """Tables written as Parquet to the shared folder, so that readers take only the columns they need."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.top = prepare(spark), f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        _FOLDERS.append(self.top)
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.top}/{name}")

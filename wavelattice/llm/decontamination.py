@@ -8,8 +8,10 @@ Words that no item has, and pairs of words that no item has side by side, break
 every run, so only stretches free of such breaks are streamed.
 
 The automaton is broadcast, so its size is bounded: items are taken in blocks
-of at most BLOCK_WORDS words, each block is one pass over the documents, and
-marks are united. Documents are never shuffled.
+of at most BLOCK_WORDS words (or a single longer item), and the driver and each
+Python worker hold one block at a time. Each block is a pass over the documents.
+With one block, documents are never shuffled; with more, what each pass found
+is written and united by document.
 
 Defined results: a null or empty text has no words and no hits; null item texts
 have no windows; rows of one item_id are one item (a null item_id is written
@@ -19,7 +21,9 @@ hits nothing; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -27,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._util import Scratch, document_key, few
+
 #: A-Z to a-z, digits and bytes over 0x7F as they are, all else to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -52,26 +58,26 @@ class Automaton:
             for token in seq:
                 last = self._extend(last, token, out)
         n = len(self.link)
-        owners: list[set[str]] = [set() for _ in range(n)]
-        self.short: dict[int, list[tuple[int, str]]] = {}
+        order = sorted(range(1, n), key=self.length.__getitem__)
+        self.at = [0] * n  # the state of the last `window` words of a longer match
+        for v in order:
+            up = self.link[v]
+            self.at[v] = self.at[up] if self.length[up] >= window else v
+        owners: dict[int, set[str]] = {}  # by state of a window: one entry a word of the items at most
         whole: dict[int, set[tuple[int, str]]] = {}
         for name, seq in sequences:
             state = 0
-            for token in seq:
-                state = v = self.step[state, token]
-                while v > 0 and name not in owners[v]:
-                    owners[v].add(name)
-                    v = self.link[v]
+            for pos, token in enumerate(seq, 1):
+                state = self.step[state, token]
+                if pos >= window:
+                    owners.setdefault(self.at[state], set()).add(name)
             if len(seq) < window:
                 whole.setdefault(state, set()).add((len(seq), name))
-        order = sorted(range(1, n), key=self.length.__getitem__)
-        self.at = [0] * n  # the state of the last `window` words of a longer match
+        self.short: dict[int, list[tuple[int, str]]] = {}
         for v in order:
-            up = self.link[v]
-            self.at[v] = self.at[up] if self.length[up] >= window else v
-            if mine := sorted(whole.get(v, set()) | set(self.short.get(up, ()))):
+            if mine := sorted(whole.get(v, set()) | set(self.short.get(self.link[v], ()))):
                 self.short[v] = mine
-        self.owners = [tuple(x) for x in owners]
+        self.owners = {v: tuple(x) for v, x in owners.items()}
         self.least = min((min(len(s), window) for _, s in sequences), default=window)
         pairs = np.zeros(1 << _BITS, bool)
         for _, seq in sequences:
@@ -160,22 +166,57 @@ class Automaton:
         return runs, found
 
 
-def automata(benchmark: DataFrame, window: int = 10) -> list[Automaton]:
-    """One automaton per block of items. The items are the query set and go through the driver block by block."""
+def blocks_of(benchmark: DataFrame, block_words: int):
+    """Lists of items (name, words), a block at a time. The items go through the driver, one partition after another."""
     items: list[tuple[str, list[bytes]]] = []
-    out, n = [], 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text").toLocalIterator()
-    for name, text in rows:
+    n = 0
+    for name, text in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text").toLocalIterator():
         if ws := words(text):
-            if items and n + len(ws) > BLOCK_WORDS:
-                out.append(Automaton(items, window))
+            if items and n + len(ws) > block_words:
+                yield items
                 items, n = [], 0
             items.append((name, ws))
             n += len(ws)
-    return out + ([Automaton(items, window)] if items else [])
-
-
-_SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
+    yield items
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
+    """docs (doc_id, k0, k1, text) with n_words, spans (hit words, [start, end)) and items added."""
+    spark = docs.sparkSession
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def scanned(items, rows: DataFrame) -> DataFrame:
+        block = spark.sparkContext.broadcast(Automaton(items, window))
+        names = rows.columns
+        where = names.index("text")
+
+        def run(batches):
+            for batch in batches:
+                cols: list[list] = [[], [], []]
+                for text in batch.column(where):
+                    tokens = words(text.as_py())
+                    runs, found = block.value.scan(tokens)
+                    for c, v in zip(cols, (len(tokens), [{"start": a, "end": b} for a, b in runs], sorted(found)), strict=True):
+                        c.append(v)
+                kinds = [pa.int64(), spans, pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*names, "n_words", "spans", "items"])
+
+        added = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+        return rows.mapInArrow(run, ", ".join([*(f"`{c}` {k}" for c, k in rows.dtypes), added]))
+
+    rest = blocks_of(benchmark, block_words)
+    first, second = next(rest), next(rest, None)
+    if second is None:
+        return scanned(first, docs)
+    scratch, found = Scratch(spark), []
+    for k, items in enumerate(itertools.chain([first, second], rest)):
+        found.append(scratch.store(scanned(items, docs).where("size(spans) > 0").select("k0", "k1", "spans", "items"), f"block{k}"))
+    united = functools.reduce(DataFrame.unionByName, found).groupBy(F.col("k0").alias("w0"), F.col("k1").alias("w1"))
+    united = united.agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans_"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items_"))
+    none = scanned([], docs)  # counts words
+    joined = none.drop("spans", "items").join(few(united), (F.col("k0") == F.col("w0")) & (F.col("k1") == F.col("w1")), "left").drop("w0", "w1")
+    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return joined.withColumn("spans", F.coalesce("spans_", empty)).withColumn("items", F.coalesce("items_", F.array().cast("array<string>"))).drop("spans_", "items_")
 
 
 def _united(runs: list[list[int]]) -> list[list[int]]:
@@ -188,29 +229,26 @@ def _united(runs: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (hit words, [start, end))."""
-    blocks = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *document_key(docs), F.col("text").cast("string").alias("text"))
+    found = hits(rows, benchmark, window, block_words)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
 
     def run(batches):
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for text in batch.column(1):
-                tokens = words(text.as_py())
-                runs, items = [], set()
-                for block in blocks.value:
-                    r, i = block.scan(tokens)
-                    runs += r
-                    items |= i
-                runs = _united(runs) if runs else runs
-                hit = sum(b - a for a, b in runs)
-                row = (len(tokens), hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0, [{"start": a, "end": b} for a, b in runs])
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {_SCHEMA}")
+            out = []
+            for n, spans, items in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                runs = _united([[s["start"], s["end"]] for s in spans.as_py()])
+                hit, items = sum(b - a for a, b in runs), items.as_py()
+                out.append((n.as_py(), hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0, [{"start": a, "end": b} for a, b in runs]))
+            cols = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=True))], names=names)
+
+    return found.select("doc_id", "n_words", "spans", "items").mapInArrow(
+        run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
+    )
 
 
 def without_spans(text: str, runs: list[list[int]]) -> str:
@@ -224,33 +262,33 @@ def without_spans(text: str, runs: list[list[int]]) -> str:
     return b"".join([*out, raw[last:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with hit spans cut out of text; a document of which more than max_coverage of the words is hit goes.
 
     n_chars, where docs has it, follows the text that is left. All columns are
     kept by name, whatever else docs holds.
     """
-    blocks = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window))
     names = docs.columns
     where, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), *document_key(docs), F.col("text").cast("string").alias("text"))
+    found = hits(rows, benchmark, window, block_words).select("row", "n_words", "spans")
 
     def run(batches):
         for batch in batches:
-            keep, texts, counts = [], batch.column(where).to_pylist(), {}
-            for i, text in enumerate(texts):
-                tokens = words(text)
-                runs = _united([r for block in blocks.value for r in block.scan(tokens)[0]])
-                if runs:
-                    if sum(b - a for a, b in runs) > max_coverage * len(tokens):
+            own = batch.column(0)
+            cols = own.flatten()
+            keep, texts, counts = [], cols[where].to_pylist(), {}
+            for i, (n, spans) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                if runs := _united([[s["start"], s["end"]] for s in spans.as_py()]):
+                    if sum(b - a for a, b in runs) > max_coverage * n.as_py():
                         continue
-                    texts[i] = without_spans(text, runs)
+                    texts[i] = without_spans(texts[i], runs)
                     counts[i] = len(texts[i])
                 keep.append(i)
-            cols = batch.columns
-            cols[where] = pa.array(texts, batch.schema.field(where).type)
+            cols[where] = pa.array(texts, cols[where].type)
             if chars is not None:
                 old = cols[chars].to_pylist()
-                cols[chars] = pa.array([counts.get(i, old[i]) for i in range(len(old))], batch.schema.field(chars).type)
-            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).take(pa.array(keep, pa.int64()))
+                cols[chars] = pa.array([counts.get(i, old[i]) for i in range(len(old))], cols[chars].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names).take(pa.array(keep, pa.int64()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return found.mapInArrow(run, docs.schema)

@@ -8,9 +8,11 @@ at most MAX_ROWS rows and MAX_BYTES bytes of whole texts (parameters), drawn
 evenly by a hash of doc_id, whole and as short excerpts. Scoring multiplies
 table and layer once, so a text is a mean of looked-up rows.
 
-Rejection: a temperature is fitted on rows held back from training, and a text
-is rejected if its score is below the score that all but REJECT of the rightly
-predicted held-back rows and excerpts exceed, or if it has no letter.
+Rejection: a temperature is fitted on rows held back from training. Whole texts
+and short excerpts have a threshold each: the score that all but REJECT of the
+rightly predicted held-back ones exceed. A text is rejected if its score is
+below the threshold of its length (SHORT bytes of letters part the two), or if
+it has no letter.
 
 Defined results: a null text or one without a letter is "und" with score 0 and
 rejected; rows with null lang or doc_id are not learned from; with nothing to
@@ -20,20 +22,21 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_ROWS, MAX_BYTES = 4000, 32_000_000
 BUCKETS, DIM, EPOCHS, RATE = 1 << 15, 8, 4, 8.0
-REJECT = 0.0005
+REJECT, SHORT = 0.005, 200
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-_OTHER = re.compile(r"[\W\d_]+")
+#: All that is not of the Unicode category of letters.
+_OTHER = regex.compile(r"\P{L}+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,7 +74,8 @@ class Model:
     logits: np.ndarray  # of each table row
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = 0.0
+    threshold: float = 0.0  # of whole texts
+    short: float = 0.0  # of excerpts
     report: dict = field(default_factory=dict)
 
     def raw(self, texts: list[bytes]) -> np.ndarray:
@@ -106,7 +110,8 @@ class Model:
         best, score = top(self.raw(data) / self.temperature)
         known = np.array([len(d) > 0 for d in data], bool)
         score = np.where(known, score, 0.0)
-        return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], score, ~known | (score < self.threshold)
+        least = np.array([self.short if len(d) < SHORT else self.threshold for d in data])
+        return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], score, ~known | (score < least)
 
 
 def top(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,8 +165,10 @@ def train(rows: list[tuple[str, str]], seed: int = 1) -> Model:
 
         model.temperature = min(np.geomspace(0.1, 10, 41), key=loss)
         best, score = top(logits / model.temperature)
-        right = score[best == y]
-        model.threshold = float(np.quantile(right, REJECT, method="lower")) if len(right) else 0.0
+        brief = np.array([len(x) < SHORT for x, _ in held])
+        for name, some in (("threshold", ~brief), ("short", brief)):
+            right = score[(best == y) & some]
+            setattr(model, name, float(np.quantile(right, REJECT, method="lower")) if len(right) else 0.0)
         model.report = {"held": len(y), "accuracy": float((best == y).mean())}
     return model
 
@@ -180,22 +187,25 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, score and rejected added (in place of columns of these names)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = ["lang_pred", "score", "rejected"]
-    kept = docs.select(*[c for c in docs.columns if c not in added])
-    where = kept.columns.index("text")
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
+    where = [c.lower() for c in kept.columns].index("text")
 
     def run(batches):
         for batch in batches:
             lang, score, rejected = shared.value.predict(batch.column(where).cast(pa.string()).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[*batch.schema.names, *added])
 
-    from pyspark.sql import types as T
-
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of docs that are not rejected, with docs' own columns."""
-    added = {"lang_pred", "score", "rejected"} & set(docs.columns)
-    if added:
-        raise ValueError(f"columns {sorted(added)} are in use")
-    return identify(docs, model).where("not rejected").select(*docs.columns)
+    """Rows of docs that are not rejected, with docs' own columns, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    where = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches):
+        for batch in batches:
+            rejected = shared.value.predict(batch.column(where).cast(pa.string()).to_pylist())[2]
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)

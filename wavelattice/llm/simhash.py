@@ -119,7 +119,9 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.col("text").cast("string"))})
+    """row (all columns of docs), _id, _text (hash) and text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_text"), text.alias("text"))
 
 
 def shingle_prefixes(keyed: DataFrame, n: int) -> DataFrame:
@@ -200,4 +202,4 @@ def deduplicate(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     nodes = prefixes.groupBy("node").agg(first).join(found.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left")
     keep = nodes.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first")).select("first.id_", "first.text_")
     kept = keyed.join(keep, keyed["_id"].eqNullSafe(keep["id_"]) & (keyed["_text"] == keep["text_"]), "left_semi")
-    return kept.dropDuplicates(["_id", "_text"]).select(docs.columns)
+    return kept.dropDuplicates(["_id", "_text"]).select("row.*")

@@ -15,7 +15,7 @@ and a logistic curve, fitted on the rows held back, maps it to 0..1.
 
 Defined results: null and empty texts have no tokens and get the score of no
 evidence; repeated rows give repeated result rows; a null doc_id is never
-learned from; without labelled rows of both labels every score is 0; conflicting
+learned from; without labelled rows of both labels every score is next to 0 (1e-13); conflicting
 labels of one doc_id count as toxic; other columns are ignored.
 """
 
@@ -26,14 +26,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._util import cut
+
 #: Labelled rows that are learned from, at most, and tokens that are kept, at most.
 MAX_ROWS, MAX_TOKENS = 20_000, 50_000
 #: Rows of which one is held back for calibration.
 HOLD = 4
 PRIOR, Z_LEAST, DRIFT, SIGNIFICANT = 500.0, 2.5, 0.25, 0.01
+#: Segments of a text that count as evidence, and the width of a score's class when scores are counted.
+BEST, STEP = 64, 0.001
 #: Letters, digits and bytes over 0x7F; A-Z lower-cased.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -42,13 +46,17 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
-def log_odds(toxic: np.ndarray, neutral: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds by token and their z values, with a Dirichlet prior of 0.5 each and the rest in proportion to the joint counts."""
-    both = toxic + neutral
-    alpha = 0.5 + prior * both / both.sum()
+def log_odds(toxic: Column, neutral: Column, all_toxic: float, all_neutral: float, prior: float = PRIOR) -> tuple[Column, Column]:
+    """Log-odds by token and their z values, with a Dirichlet prior of 0.5 each and the rest in proportion to the joint counts.
+
+    all_toxic and all_neutral are the sums of the counts over tokens; every
+    token's prior lowers the rest of its label's mass alike.
+    """
+    both = all_toxic + all_neutral
+    alpha = F.lit(0.5) + (toxic + neutral) * (prior / both)
     a, b = toxic + alpha, neutral + alpha
-    delta = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
-    return delta, delta / np.sqrt(1 / a + 1 / b)
+    delta = F.log(a / (all_toxic + prior - a)) - F.log(b / (all_neutral + prior - b))
+    return delta, delta / F.sqrt(1 / a + 1 / b)
 
 
 def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
@@ -111,8 +119,8 @@ class Model:
         return self.log_k + math.log(max(n, 1)) - self.lam * score
 
     def evidence(self, n: int, found: list[tuple[int, int, float]]) -> tuple[float, list[tuple[int, int, float]]]:
-        """-log of the best segment's p value, plus what further significant segments add."""
-        logs = sorted(self.expectation(n, s) for _, _, s in found)
+        """-log of the best segment's p value, plus what further significant ones of the BEST add; and all significant segments."""
+        logs = sorted(self.expectation(n, s) for _, _, s in found)[:BEST]
         if not logs:
             return 0.0, []
         best = -math.log(max(-math.expm1(-math.exp(min(logs[0], 50.0))), 1e-300))
@@ -160,32 +168,40 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
 
     counts = texts.where("not held").select("text", "toxic").mapInArrow(present, "token binary, toxic long, neutral long")
     counts = counts.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("neutral").alias("neutral")).where("toxic + neutral > 1")
-    table = counts.orderBy(F.desc(F.abs(F.log((F.col("toxic") + 0.5) / (F.col("neutral") + 0.5))) * F.sqrt(F.col("toxic") + F.col("neutral"))), "token").limit(MAX_TOKENS).toPandas()
-    if not len(table):
+    counts = cut(counts)
+    totals = counts.agg(F.sum("toxic"), F.sum("neutral")).first()
+    if totals[0] is None:
         return Model({})
-    delta, z = log_odds(table.toxic.to_numpy(float), table.neutral.to_numpy(float))
-    keep = np.abs(z) >= Z_LEAST
-    model = Model({bytes(t): float(d) for t, d, k in zip(table.token, np.clip(delta, -8, 8), keep, strict=True) if k})
+    delta, z = log_odds(F.col("toxic"), F.col("neutral"), float(totals[0]), float(totals[1]))
+    table = counts.select("token", delta.alias("delta"), z.alias("z")).where(F.abs("z") >= Z_LEAST).orderBy(F.desc(F.abs("z")), "token").limit(MAX_TOKENS).collect()
+    model = Model({bytes(r.token): min(max(r.delta, -8.0), 8.0) for r in table})
     shared = spark.sparkContext.broadcast(model)
 
     def scored(batches):
+        """A row by text: label, tokens, scores of the best segments, and the summed scores of its known tokens by value."""
         for batch in batches:
             out = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words, m = tokens(text), shared.value
                 n, found = m.segments(text)
-                known = [s for w in words if (s := m.scores.get(w)) is not None]
-                out.append((label, n, [s for _, _, s in found], known))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())], strict=True)], names=["toxic", "n", "found", "known"]) if out else batch.slice(0, 0)
-
-    held = texts.where("held").select("text", "toxic").mapInArrow(scored, "toxic int, n long, found array<double>, known array<double>").collect()
+                known: dict[int, int] = {}
+                for w in words:
+                    if (s := m.scores.get(w)) is not None:
+                        known[round(s / STEP)] = known.get(round(s / STEP), 0) + 1
+                out.append((label, n, sorted((s for _, _, s in found), reverse=True)[:BEST], known.items()))
+            kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.map_(pa.int32(), pa.int64())]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["toxic", "n", "found", "known"])
+
+    held = cut(texts.where("held").select("text", "toxic").mapInArrow(scored, "toxic int, n long, found array<double>, known map<int,long>"))
+    # A row by score value (16 / STEP + 1 at most), and max_rows / HOLD rows of BEST numbers.
+    steps = held.where("toxic = 0").select(F.explode("known").alias("step", "c")).groupBy("step").agg(F.sum("c").alias("c")).orderBy("step").collect()
+    held = held.select("toxic", "n", "found").collect()
     neutral = [r for r in held if not r.toxic and r.n]
     if not neutral or len(neutral) == len(held):
         return model
-    known = np.array([s for r in neutral for s in r.known])
-    values, weights = np.unique(np.append(np.round(known, 3), -model.drift), return_counts=True)
-    weights = weights.astype(float)
-    weights[np.searchsorted(values, -model.drift)] += sum(r.n for r in neutral) - len(known)
+    values = np.array([-model.drift, *(r.step * STEP for r in steps)])
+    weights = np.array([sum(r.n for r in neutral) - sum(r.c for r in steps), *(r.c for r in steps)], float)
     model.lam = decay(values, weights)
     tops = [model.lam * max(r.found) - math.log(r.n) for r in neutral if r.found]
     model.log_k = float(np.mean(tops) - 0.5772) if tops else 0.0
