@@ -183,29 +183,33 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -
     return train([(r.text, r.lang) for r in chosen]) if chosen else Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
 
 
+def _packed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """row (the columns named, whatever their names) and text."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("text").cast("string").alias("text"))
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, score and rejected added (in place of columns of these names)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    added = ["lang_pred", "score", "rejected"]
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
-    where = [c.lower() for c in kept.columns].index("text")
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in {a.name for a in added}]
+    schema = T.StructType([*kept, *added])
 
     def run(batches):
         for batch in batches:
-            lang, score, rejected = shared.value.predict(batch.column(where).cast(pa.string()).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[*batch.schema.names, *added])
+            lang, score, rejected = shared.value.predict(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.column(0).flatten(), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=schema.names)
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
+    return _packed(docs, [f.name for f in kept]).mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of docs that are not rejected, with docs' own columns, whatever their names."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    where = [c.lower() for c in docs.columns].index("text")
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def run(batches):
         for batch in batches:
-            rejected = shared.value.predict(batch.column(where).cast(pa.string()).to_pylist())[2]
-            yield batch.filter(pa.array(~rejected))
+            rejected = shared.value.predict(batch.column(1).to_pylist())[2]
+            yield pa.RecordBatch.from_arrays(batch.column(0).flatten(), names=names).filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return _packed(docs, names).mapInArrow(run, docs.schema)
