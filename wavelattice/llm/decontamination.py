@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._util import Scratch, document_key, few
 
@@ -201,8 +202,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -
                 kinds = [pa.int64(), spans, pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*names, "n_words", "spans", "items"])
 
-        added = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-        return rows.mapInArrow(run, ", ".join([*(f"`{c}` {k}" for c, k in rows.dtypes), added]))
+        span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+        added = [T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))]
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))
 
     rest = blocks_of(benchmark, block_words)
     first, second = next(rest), next(rest, None)
