@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ._util import connected_components, cut
+from ._util import Scratch, connected_components, cut, few
 
 SEED = 42
 #: Per byte value, its eight bits as eight one-byte counters of a word.
@@ -149,39 +149,65 @@ def shingle_prefixes(keyed: DataFrame, n: int) -> DataFrame:
     return keyed.select("_id", "_text", F.col("text").cast("string").alias("text")).mapInArrow(run, "_id long, _text long, node long, n long, prefix array<long>, sketch array<long>")
 
 
-def shingle_candidates(sets: DataFrame) -> DataFrame:
-    """(u, v), u < v, of sets (node, n, prefix; a row each): all pairs whose Jaccard similarity can be 0.8.
-
-    At a pair's first common hash, what follows it in either set bounds the
-    overlap, which has to be 4/9 of the two sizes together.
-    """
-    keys = sets.select("node", "n", F.posexplode("prefix").alias("rank", "key")).select("node", "n", (F.col("n") - F.col("rank")).alias("left"), "key")
-    a, b = (keys.select("key", *(F.col(c).alias(x + c) for c in ("node", "n", "left"))) for x in "ab")
-    enough = 9 * F.least("aleft", "bleft") >= 4 * (F.col("an") + F.col("bn"))
-    return a.join(b, (a["key"] == b["key"]) & (F.col("anode") < F.col("bnode")) & enough).select(F.col("anode").alias("u"), F.col("bnode").alias("v")).distinct()
-
-
-def shingle_links(keyed: DataFrame, prefixes: DataFrame, n: int) -> DataFrame:
-    """(u, v), u < v: pairs of different shingle sets with a Jaccard similarity of 0.8 or more."""
-    first = prefixes.groupBy("node").agg(F.min_by(F.struct("_id", "_text", "n", "prefix", "sketch"), F.struct("_id", "_text")).alias("f")).select("node", "f.*")
-    first = cut(first)
-    a, b = (first.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
-    bits = F.aggregate(F.zip_with("su", "sv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    pairs = cut(shingle_candidates(first).join(a, "u").join(b, "v").where(9 * bits <= F.col("nu") + F.col("nv")).select("u", "v"))
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(first, "node").select("node", F.col("_id").alias("id_"), F.col("_text").alias("text_"))
-    texts = keyed.select("_id", "_text", F.col("text").cast("string").alias("text"))
-    texts = texts.join(wanted, texts["_id"].eqNullSafe(wanted["id_"]) & (texts["_text"] == wanted["text_"])).select("node", "text")
+def sets_of(keyed: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, have): the whole shingle sets of wanted(node, id_, text_), from their texts."""
+    few_, texts = few(wanted), keyed.select("_id", "_text", "text")
+    texts = texts.join(few_, texts["_id"].eqNullSafe(wanted["id_"]) & (texts["_text"] == wanted["text_"])).select("node", "text")
 
     def run(batches):
         for batch in batches:
             have = [shingle_set(t.as_py(), n).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(have, pa.list_(pa.int64()))], names=["node", "have"])
 
-    sets = cut(texts.mapInArrow(run, "node long, have array<long>").dropDuplicates(["node"]))
+    return texts.mapInArrow(run, "node long, have array<long>").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (u, v), those whose sets have a Jaccard similarity of 0.8 or more."""
     a, b = sets.select(F.col("node").alias("u"), F.col("have").alias("x")), sets.select(F.col("node").alias("v"), F.col("have").alias("y"))
     return pairs.join(a, "u").join(b, "v").where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v")
 
 
+def groups_of_sets(keyed: DataFrame, first: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """(node, label) of sets that are linked to another one.
+
+    A semi-join keeps the prefix hashes at which a set has any possible partner:
+    at a pair's common hash, what follows it in either set bounds the overlap,
+    which has to be 4/9 of the two sizes together. Along each such hash a set is
+    verified against the first one and the one before it; links found so make
+    groups. Only sets of different groups are then joined in pairs, so that a
+    group of g near copies never makes g x g rows.
+    """
+    rows = first.select("node", "n", F.posexplode("prefix").alias("rank", "key")).select("node", "n", (F.col("n") - F.col("rank")).alias("left"), "key")
+
+    def possible(x: str, y: str) -> Column:
+        return 9 * F.least(f"{x}.left", f"{y}.left") >= 4 * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+    hits = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & possible("x", "y"), "left_semi")
+    hits = scratch.store(hits, "hits")
+    known = hits.select("node").distinct().join(first, "node")
+    sketches = scratch.store(known.select("node", "n", "sketch"), "sketches")
+    sets = scratch.store(sets_of(keyed, known.select("node", F.col("_id").alias("id_"), F.col("_text").alias("text_")), n), "sets")
+    a, b = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
+    bits = F.aggregate(F.zip_with("su", "sv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        return pairs.join(a, "u").join(b, "v").where(9 * bits <= F.col("nu") + F.col("nv")).select("u", "v")
+
+    along = Window.partitionBy("key").orderBy("node")
+    me = F.struct("node", "n", "left")
+    beside = hits.select(me.alias("x"), F.first(me).over(along).alias("first"), F.lag(me).over(along).alias("prev"))
+    beside = beside.select("x", F.explode(F.array("first", "prev")).alias("y")).where("y is not null and x.node != y.node").where(possible("x", "y"))
+    tried = scratch.store(near(beside.select(F.col("y.node").alias("u"), F.col("x.node").alias("v")).distinct()), "tried")
+    links = scratch.store(verified(tried, sets), "links")
+    groups = scratch.store(connected_components(links), "groups")
+    label = hits.join(groups.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("node", "n", "left", "key", F.coalesce("label", "node").alias("label"))
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & possible("x", "y")
+    rest = label.alias("x").join(label.alias("y"), apart).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+    more = scratch.store(verified(near(rest), sets), "more")
+    return groups if more.isEmpty() else scratch.store(connected_components(links.unionByName(more)), "all_groups")
+
+
 def deduplicate(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     """docs with exactly one row of each group of near copies kept: the one of the smallest doc_id.
 
@@ -195,11 +221,23 @@ def deduplicate(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     rows with one doc_id the text hash decides, of repeated rows any one stays.
     Texts without words are one group.
     """
-    keyed = _keyed(docs)
-    prefixes = cut(shingle_prefixes(keyed, shingle_words))
-    found = connected_components(shingle_links(keyed, prefixes, shingle_words))
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id_"), F.col("_text").alias("text_"))).alias("first")
-    nodes = prefixes.groupBy("node").agg(first).join(found.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left")
-    keep = nodes.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first")).select("first.id_", "first.text_")
-    kept = keyed.join(keep, keyed["_id"].eqNullSafe(keep["id_"]) & (keyed["_text"] == keep["text_"]), "left_semi")
-    return kept.dropDuplicates(["_id", "_text"]).select("row.*")
+    keyed, scratch = _keyed(docs), Scratch(docs.sparkSession)
+    prefixes = scratch.store(shingle_prefixes(keyed, shingle_words), "prefixes")
+    first = prefixes.groupBy("node").agg(F.min_by(F.struct("_id", "_text", "n", "prefix", "sketch"), F.struct("_id", "_text")).alias("f")).select("node", "f.*")
+    found = groups_of_sets(keyed, scratch.store(first, "first"), shingle_words, scratch)
+    scratch.drop("first", "hits", "sketches", "sets")
+    mine = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id_"), F.col("_text").alias("text_"))
+    members = prefixes.groupBy("_id", "_text", "node").agg(F.count(F.lit(1)).alias("rows"))
+    members = members.join(found.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select(mine.alias("me"), "rows", F.coalesce("label", "node").alias("label"))
+    members = scratch.store(members, "members")
+    best = scratch.store(members.groupBy(F.col("label").alias("label_")).agg(F.min("me").alias("best")), "best")
+    state = members.join(best, F.col("label") == F.col("label_"))
+    same = lambda t: keyed["_id"].eqNullSafe(t["id_"]) & (keyed["_text"] == t["text_"])
+    gone = scratch.store(state.where("me != best").select("me.id_", "me.text_"), "gone")
+    several = scratch.store(state.where("me = best and rows > 1").select("me.id_", "me.text_"), "several")
+    scratch.drop("prefixes", "members", "best")
+    kept = keyed.join(few(gone), same(gone), "left_anti")
+    if several.isEmpty():
+        return kept.select("row.*")
+    once = kept.join(few(several), same(several), "left_semi").dropDuplicates(["_id", "_text"])
+    return kept.join(few(several), same(several), "left_anti").unionByName(once).select("row.*")
