@@ -33,7 +33,7 @@ SEED = 42
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 #: Rows whose one-byte counters can be added without overflow.
 _STEP = 255
-#: Bits of the parity sketch of a shingle set.
+#: Bits of the parity sketch of a shingle set, at least; twice as many as it has shingles, rounded up to a power of two.
 SKETCH = 1024
 
 
@@ -140,7 +140,8 @@ def shingle_prefixes(keyed: DataFrame, n: int) -> DataFrame:
                 nodes.append(xxh64_intdigest(have.tobytes(), SEED))
                 sizes.append(len(have))
                 prefixes.append(have[: len(have) - -(-4 * len(have) // 5) + 1].view(np.int64))
-                odd = np.bincount((have % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+                size = max(SKETCH, 1 << (2 * len(have) - 1).bit_length()) if len(have) else SKETCH
+                odd = np.bincount((have % np.uint64(size)).astype(np.int64), minlength=size) & 1
                 sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             node = pa.array(np.array(nodes, np.uint64).view(np.int64))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (prefixes, sketches)]
@@ -162,10 +163,11 @@ def sets_of(keyed: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, have array<long>").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (u, v), those whose sets have a Jaccard similarity of 0.8 or more."""
-    a, b = sets.select(F.col("node").alias("u"), F.col("have").alias("x")), sets.select(F.col("node").alias("v"), F.col("have").alias("y"))
-    return pairs.join(a, "u").join(b, "v").where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v")
+def folded(sketch: Column, size: Column) -> Column:
+    """A sketch brought to `size` longs, half as many as it has at most: slots that meet are added by parity."""
+    half = (F.size(sketch) / 2).cast("int")
+    both = F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(sketch) > size, both).otherwise(sketch)
 
 
 def groups_of_sets(keyed: DataFrame, first: DataFrame, n: int, scratch: Scratch) -> DataFrame:
@@ -173,10 +175,11 @@ def groups_of_sets(keyed: DataFrame, first: DataFrame, n: int, scratch: Scratch)
 
     A semi-join keeps the prefix hashes at which a set has any possible partner:
     at a pair's common hash, what follows it in either set bounds the overlap,
-    which has to be 4/9 of the two sizes together. Along each such hash a set is
-    verified against the first one and the one before it; links found so make
-    groups. Only sets of different groups are then joined in pairs, so that a
-    group of g near copies never makes g x g rows.
+    which has to be 4/9 of the two sizes together. Along each such hash the
+    first set and the one before are looked at, and each set is verified against
+    the one that it meets most often; links found so make groups. Only sets of
+    different groups are then joined in pairs, so that a group of g near copies
+    does not make g x g rows. Pairs are verified after their sketches.
     """
     rows = first.select("node", "n", F.posexplode("prefix").alias("rank", "key")).select("node", "n", (F.col("n") - F.col("rank")).alias("left"), "key")
 
@@ -185,26 +188,35 @@ def groups_of_sets(keyed: DataFrame, first: DataFrame, n: int, scratch: Scratch)
 
     hits = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & possible("x", "y"), "left_semi")
     hits = scratch.store(hits, "hits")
-    known = hits.select("node").distinct().join(first, "node")
-    sketches = scratch.store(known.select("node", "n", "sketch"), "sketches")
-    sets = scratch.store(sets_of(keyed, known.select("node", F.col("_id").alias("id_"), F.col("_text").alias("text_")), n), "sets")
-    a, b = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
-    bits = F.aggregate(F.zip_with("su", "sv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-
-    def near(pairs: DataFrame) -> DataFrame:
-        return pairs.join(a, "u").join(b, "v").where(9 * bits <= F.col("nu") + F.col("nv")).select("u", "v")
+    known = hits.select("node").distinct().join(first, "node").select("node", "n", "sketch", F.col("_id").alias("id_"), F.col("_text").alias("text_"))
+    known = scratch.store(known, "known")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Of pairs (u, v), those whose sets have a Jaccard similarity of 0.8 or more."""
+        a, b = (known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
+        size = F.least(F.size("su"), F.size("sv"))
+        bits = F.aggregate(F.zip_with(folded(F.col("su"), size), folded(F.col("sv"), size), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        pairs = scratch.store(pairs.join(a, "u").join(b, "v").where(9 * bits <= F.col("nu") + F.col("nv")).select("u", "v"), f"{name}_near")
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        sets = scratch.store(sets_of(keyed, scratch.store(known.drop("sketch").join(ends, "node"), f"{name}_ends"), n), f"{name}_sets")
+        a, b = sets.select(F.col("node").alias("u"), F.col("have").alias("x")), sets.select(F.col("node").alias("v"), F.col("have").alias("y"))
+        out = pairs.join(a, "u").join(b, "v").where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v")
+        out = scratch.store(out, name)
+        scratch.drop(f"{name}_near", f"{name}_ends", f"{name}_sets")
+        return out
 
     along = Window.partitionBy("key").orderBy("node")
     me = F.struct("node", "n", "left")
     beside = hits.select(me.alias("x"), F.first(me).over(along).alias("first"), F.lag(me).over(along).alias("prev"))
     beside = beside.select("x", F.explode(F.array("first", "prev")).alias("y")).where("y is not null and x.node != y.node").where(possible("x", "y"))
-    tried = scratch.store(near(beside.select(F.col("y.node").alias("u"), F.col("x.node").alias("v")).distinct()), "tried")
-    links = scratch.store(verified(tried, sets), "links")
+    met = beside.groupBy(F.col("y.node").alias("u"), F.col("x.node").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    tried = scratch.store(met.groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u")).select("u", "v"), "tried")
+    links = verified(tried, "links")
     groups = scratch.store(connected_components(links), "groups")
     label = hits.join(groups.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("node", "n", "left", "key", F.coalesce("label", "node").alias("label"))
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & possible("x", "y")
     rest = label.alias("x").join(label.alias("y"), apart).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    more = scratch.store(verified(near(rest), sets), "more")
+    more = verified(rest, "more")
     return groups if more.isEmpty() else scratch.store(connected_components(links.unionByName(more)), "all_groups")
 
 
@@ -225,7 +237,7 @@ def deduplicate(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     prefixes = scratch.store(shingle_prefixes(keyed, shingle_words), "prefixes")
     first = prefixes.groupBy("node").agg(F.min_by(F.struct("_id", "_text", "n", "prefix", "sketch"), F.struct("_id", "_text")).alias("f")).select("node", "f.*")
     found = groups_of_sets(keyed, scratch.store(first, "first"), shingle_words, scratch)
-    scratch.drop("first", "hits", "sketches", "sets")
+    scratch.drop("first", "hits", "known")
     mine = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id_"), F.col("_text").alias("text_"))
     members = prefixes.groupBy("_id", "_text", "node").agg(F.count(F.lit(1)).alias("rows"))
     members = members.join(found.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select(mine.alias("me"), "rows", F.coalesce("label", "node").alias("label"))
