@@ -45,9 +45,9 @@ _ODD = re.compile("[\\s\u0250-\U0010ffff]")
 #: ASCII marks, none of which is a letter, a digit or white space.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words remembered by a worker (some 200 bytes each).
-MEMO = 600_000
+MEMO = 200_000
 #: Characters of text that are looked up at a time, and words that are encoded as one text.
-CHUNK, RUN = 1 << 22, 4000
+CHUNK, RUN = 1 << 21, 4000
 #: Bytes of ids in a partition that is packed.
 PART = 32 << 20
 
