@@ -79,7 +79,7 @@ class Model:
     report: dict = field(default_factory=dict)
 
     def raw(self, texts: list[bytes]) -> np.ndarray:
-        """Logits by text; a few MB of bytes at once."""
+        """Logits by text; half a MB of bytes at once, or a longer text (some 60 bytes of memory each)."""
         out = np.zeros((len(texts), len(self.langs)))
         held, size, first = [], 0, 0
 
@@ -95,7 +95,7 @@ class Model:
         for i, text in enumerate(texts):
             held.append(text)
             size += len(text)
-            if size > 2 << 20:
+            if size > 1 << 19:
                 flush(i + 1)
                 held, size, first = [], 0, i + 1
         if held:

@@ -45,9 +45,9 @@ _ODD = re.compile("[\\s\u0250-\U0010ffff]")
 #: ASCII marks, none of which is a letter, a digit or white space.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words remembered by a worker (some 200 bytes each).
-MEMO = 200_000
+MEMO = 300_000
 #: Characters of text that are looked up at a time, and words that are encoded as one text.
-CHUNK, RUN = 1 << 21, 4000
+CHUNK, RUN = 1 << 22, 4000
 #: Bytes of ids in a partition that is packed.
 PART = 32 << 20
 
@@ -193,17 +193,18 @@ class Ids:
             breaks = code == words.index("\n")
             bare[1:] |= breaks[:-1]
             bare |= breaks
-        pools, starts, counts, before = [], np.empty(len(code), np.int64), np.empty(len(code), np.int64), 0
+        # A chunk has fewer than 2^31 ids, and so has a pool.
+        pools, starts, counts, before = [], np.empty(len(code), np.int32), np.empty(len(code), np.int32), 0
         for known, here in ((self.bare, np.flatnonzero(bare)), (self.spaced, np.flatnonzero(~bare))):
             used = np.flatnonzero(np.bincount(code[here], minlength=len(words)))
-            place = np.zeros(len(words), np.int64)
-            place[used] = known([words[k] for k in used.tolist()])
-            at = place[code[here]]
-            starts[here], counts[here] = known.bounds[at] + before, known.counts(at)
+            at = known([words[k] for k in used.tolist()])
+            start, count = np.zeros((2, len(words)), np.int32)
+            start[used], count[used] = known.bounds[at] + before, known.counts(at)
+            starts[here], counts[here] = start[code[here]], count[code[here]]
             pools.append(known.pool)
             before += len(known.pool)
-        ends = np.cumsum(counts)
-        ids = np.concatenate(pools)[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1])]
+        ends = np.cumsum(counts, dtype=np.int32)
+        ids = np.concatenate(pools)[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1], dtype=np.int32)]
         bounds = np.concatenate([[0], ends])[first]
         return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
@@ -285,6 +286,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     ids, held, size = [], [], 0
         if held:
             yield coded(ids, held)
+        pa.default_memory_pool().release_unused()  # the worker stays, idle, for other stages
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, curve long, width int")
 
