@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ._util import Scratch, document_key, few
 
@@ -181,44 +180,56 @@ def blocks_of(benchmark: DataFrame, block_words: int):
     yield items
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
-    """docs (doc_id, k0, k1, text) with n_words, spans (hit words, [start, end)) and items added."""
-    spark = docs.sparkSession
-    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
-    def scanned(items, rows: DataFrame) -> DataFrame:
+
+def _spans(runs: list[list[list[int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in r] for r in runs], pa.list_(_SPAN))
+
+
+def _hit_only(batch: pa.RecordBatch, counts: list[int], runs: list, items: list) -> pa.RecordBatch:
+    out = pa.RecordBatch.from_arrays([batch.column("k0"), batch.column("k1"), _spans(runs), pa.array(items, pa.list_(pa.string()))], names=["k0", "k1", "spans", "items"])
+    return out.filter(pa.array([bool(r) for r in runs], pa.bool_()))
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, finish, schema) -> DataFrame:
+    """finish, made into a frame of `schema`: from a batch of docs (k0, k1, text and others) and, by row, words, hit runs and items."""
+    spark, where = docs.sparkSession, docs.columns.index("text")
+
+    def scanned(items, finish, schema) -> DataFrame:
         block = spark.sparkContext.broadcast(Automaton(items, window))
-        names = rows.columns
-        where = names.index("text")
 
         def run(batches):
             for batch in batches:
-                cols: list[list] = [[], [], []]
+                counts, runs, found = [], [], []
                 for text in batch.column(where):
                     tokens = words(text.as_py())
-                    runs, found = block.value.scan(tokens)
-                    for c, v in zip(cols, (len(tokens), [{"start": a, "end": b} for a, b in runs], sorted(found)), strict=True):
-                        c.append(v)
-                kinds = [pa.int64(), spans, pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*names, "n_words", "spans", "items"])
+                    hit, names = block.value.scan(tokens)
+                    counts.append(len(tokens))
+                    runs.append(hit)
+                    found.append(sorted(names))
+                yield finish(batch, counts, runs, found)
 
-        span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-        added = [T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))]
-        return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))
+        return docs.mapInArrow(run, schema)
 
     rest = blocks_of(benchmark, block_words)
     first, second = next(rest), next(rest, None)
     if second is None:
-        return scanned(first, docs)
+        return scanned(first, finish, schema)
     scratch, found = Scratch(spark), []
     for k, items in enumerate(itertools.chain([first, second], rest)):
-        found.append(scratch.store(scanned(items, docs).where("size(spans) > 0").select("k0", "k1", "spans", "items"), f"block{k}"))
+        found.append(scratch.store(scanned(items, _hit_only, "k0 long, k1 long, spans array<struct<start:long,end:long>>, items array<string>"), f"block{k}"))
     united = functools.reduce(DataFrame.unionByName, found).groupBy(F.col("k0").alias("w0"), F.col("k1").alias("w1"))
-    united = united.agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans_"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items_"))
-    none = scanned([], docs)  # counts words
-    joined = none.drop("spans", "items").join(few(united), (F.col("k0") == F.col("w0")) & (F.col("k1") == F.col("w1")), "left").drop("w0", "w1")
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return joined.withColumn("spans", F.coalesce("spans_", empty)).withColumn("items", F.coalesce("items_", F.array().cast("array<string>"))).drop("spans_", "items_")
+    united = united.agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("all_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("all_items"))
+    own = len(docs.columns)
+
+    def joined(batches):
+        for batch in batches:
+            runs = [_united([[s["start"], s["end"]] for s in spans.as_py() or []]) for spans in batch.column(own)]
+            counts = [len(words(text.as_py())) for text in batch.column(where)]
+            yield finish(batch.select(list(range(own))), counts, runs, [x.as_py() or [] for x in batch.column(own + 1)])
+
+    return docs.join(few(united), (F.col("k0") == F.col("w0")) & (F.col("k1") == F.col("w1")), "left").drop("w0", "w1").mapInArrow(joined, schema)
 
 
 def _united(runs: list[list[int]]) -> list[list[int]]:
@@ -234,23 +245,17 @@ def _united(runs: list[list[int]]) -> list[list[int]]:
 def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (hit words, [start, end))."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *document_key(docs), F.col("text").cast("string").alias("text"))
-    found = hits(rows, benchmark, window, block_words)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for n, spans, items in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                runs = _united([[s["start"], s["end"]] for s in spans.as_py()])
-                hit, items = sum(b - a for a, b in runs), items.as_py()
-                out.append((n.as_py(), hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0, [{"start": a, "end": b} for a, b in runs]))
-            cols = zip(*out, strict=True) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=True))], names=names)
+    def finish(batch, counts, runs, items):
+        hit = [sum(b - a for a, b in r) for r in runs]
+        digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+        cols = (counts, hit, [len(x) for x in items], digests, [h > 0 for h in hit])
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), _spans(runs)], names=names)
 
-    return found.select("doc_id", "n_words", "spans", "items").mapInArrow(
-        run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
-    )
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
+    return with_hits(rows, benchmark, window, block_words, finish, schema)
 
 
 def without_spans(text: str, runs: list[list[int]]) -> str:
@@ -273,24 +278,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     names = docs.columns
     where, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), *document_key(docs), F.col("text").cast("string").alias("text"))
-    found = hits(rows, benchmark, window, block_words).select("row", "n_words", "spans")
 
-    def run(batches):
-        for batch in batches:
-            own = batch.column(0)
-            cols = own.flatten()
-            keep, texts, counts = [], cols[where].to_pylist(), {}
-            for i, (n, spans) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
-                if runs := _united([[s["start"], s["end"]] for s in spans.as_py()]):
-                    if sum(b - a for a, b in runs) > max_coverage * n.as_py():
-                        continue
-                    texts[i] = without_spans(texts[i], runs)
-                    counts[i] = len(texts[i])
-                keep.append(i)
-            cols[where] = pa.array(texts, cols[where].type)
-            if chars is not None:
-                old = cols[chars].to_pylist()
-                cols[chars] = pa.array([counts.get(i, old[i]) for i in range(len(old))], cols[chars].type)
-            yield pa.RecordBatch.from_arrays(cols, names=names).take(pa.array(keep, pa.int64()))
-
-    return found.mapInArrow(run, docs.schema)
+    def finish(batch, counts, runs, items):
+        cols = batch.column(0).flatten()
+        keep, texts, chars_of = [], cols[where].to_pylist(), {}
+        for i, (n, run) in enumerate(zip(counts, runs, strict=True)):
+            if run:
+                if sum(b - a for a, b in run) > max_coverage * n:
+                    continue
+                texts[i] = without_spans(texts[i], run)
+                chars_of[i] = len(texts[i])
+            keep.append(i)
+        cols[where] = pa.array(texts, cols[where].type)
+        if chars is not None:
+            old = cols[chars].to_pylist()
+            cols[chars] = pa.array([chars_of.get(i, old[i]) for i in range(len(old))], cols[chars].type)
+        return pa.RecordBatch.from_arrays(cols, names=names).take(pa.array(keep, pa.int64()))
+
+    return with_hits(rows, benchmark, window, block_words, finish, docs.schema)
