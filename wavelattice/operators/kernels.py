@@ -176,3 +176,21 @@ def by_item(signals: DataFrame, f) -> DataFrame:
         return pd.DataFrame({"item": pdf["item"].iloc[0], "ch": ch.ravel(), "n": n.ravel(), "x": out.ravel()})
 
     return signals.select("item", "ch", "n", "x").groupBy("item").applyInPandas(run, "item string, ch int, n long, x double")
+
+
+def separate_wiener(sources: DataFrame, length: int, hop: int, iterations: int = 1) -> DataFrame:
+    """(item, src, ch, n, x): multichannel Wiener estimates of the mix, begun from the magnitudes of given sources (item, label, ch, n, x)."""
+
+    def run(pdf):
+        import pandas as pd
+
+        wide = pdf.pivot(index=["label", "ch"], columns="n", values="x").sort_index().sort_index(axis=1)
+        labels, size = list(dict.fromkeys(wide.index.get_level_values(0))), wide.shape[1]
+        x = wide.to_numpy(float).reshape(len(labels), -1, size)
+        z = np.array([[stft_array(c, length, hop) for c in s] for s in x])
+        y = wiener(z.sum(axis=0), np.abs(z), iterations)
+        out = np.array([[istft_array(c, length, hop, size) for c in s] for s in y])
+        src, ch, n = np.indices(out.shape)
+        return pd.DataFrame({"item": pdf["item"].iloc[0], "src": src.ravel(), "ch": ch.ravel(), "n": n.ravel(), "x": out.ravel()})
+
+    return sources.select("item", "label", "ch", "n", "x").groupBy("item").applyInPandas(run, "item string, src int, ch int, n long, x double")

@@ -81,3 +81,16 @@ def magnitude_weights(spectra: DataFrame) -> DataFrame:
 def mix_as_estimate(signals: DataFrame, count: int) -> DataFrame:
     """count copies of the mix, as a lower bound."""
     return signals.select("item", F.explode(F.array(*map(F.lit, range(count)))).alias("src"), "ch", "n", "x")
+
+
+def ones(spectra: DataFrame, value: float = 1.0) -> DataFrame:
+    """A mask of one value (zeros with 0) in the shape of the spectra."""
+    return spectra.select("item", F.lit(0).alias("src"), "ch", "t", "f", F.lit(float(value)).alias("m"))
+
+
+def equal(a: DataFrame, b: DataFrame, digits: int = 9) -> DataFrame:
+    """item, equal: whether two masks agree in every cell, rounded."""
+    key = ["item", "src", *CELL[1:]]
+    side = lambda m, k: m.select(*(F.col(c).cast("string") if c == "src" else F.col(c) for c in key), F.round("m", digits).alias("m"), F.lit(k).alias("side"))
+    cells = side(a, 1).unionByName(side(b, -1)).groupBy(*key, "m").agg(F.sum("side").alias("gap"))
+    return cells.groupBy("item").agg((F.max(F.abs("gap")) == 0).alias("equal"))

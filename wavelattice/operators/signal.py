@@ -195,3 +195,14 @@ def overlap_and_add(chunks: DataFrame, window: int, hop: int) -> DataFrame:
     weight = 0.5 - 0.5 * F.cos(F.lit(2 * math.pi / window) * F.col("n"))
     rows = chunks.select("item", "ch", (F.col("n") + F.col("chunk") * hop - hop).alias("n"), (F.col("x") * weight).alias("x"))
     return rows.where("n >= 0").groupBy(*KEY).agg(F.sum("x").alias("x"))
+
+
+def equal(a: DataFrame, b: DataFrame, digits: int = 9) -> DataFrame:
+    """item, equal: whether the two hold the same samples at the same places, rounded; one aggregation, no join."""
+    both = a.select(*KEY, F.round("x", digits).alias("x"), F.lit(1).alias("side")).unionByName(b.select(*KEY, F.round("x", digits).alias("x"), F.lit(-1).alias("side")))
+    cells = both.groupBy(*KEY, "x").agg(F.sum("side").alias("gap"))
+    return cells.groupBy("item").agg((F.max(F.abs("gap")) == 0).alias("equal"))
+
+
+def divide(signals: DataFrame, value: float) -> DataFrame:
+    return gain(signals, 1 / value)

@@ -51,3 +51,20 @@ def peak_masks(cells: DataFrame, peaks: list[tuple[float, float]]) -> DataFrame:
 def from_symmetric(s: float) -> float:
     """Attenuation of a symmetric attenuation."""
     return (s + math.sqrt(s * s + 4)) / 2
+
+
+def likelihood_masks(spectra: DataFrame, peaks: list[tuple[float, float]], length: int) -> DataFrame:
+    """(item, t, f, src): the peak (attenuation, delay in samples) that explains two channels best, first of equals.
+
+    A peak's score is |a e^(-iwd) X0 - X1|^2 / (1 + a^2), least is best.
+    """
+    pick = lambda c, ch: F.max(F.when(F.col("ch") == ch, F.col(c)))
+    both = spectra.groupBy("item", "t", "f").agg(pick("re", 0).alias("ar"), pick("im", 0).alias("ai"), pick("re", 1).alias("br"), pick("im", 1).alias("bi"))
+    scores = []
+    for k, (a, d) in enumerate(peaks):
+        turn = F.col("f") * F.lit(2 * math.pi * d / length)
+        re = a * (F.cos(turn) * F.col("ar") + F.sin(turn) * F.col("ai")) - F.col("br")
+        im = a * (F.cos(turn) * F.col("ai") - F.sin(turn) * F.col("ar")) - F.col("bi")
+        scores.append(F.struct(F.round((re * re + im * im) / (1 + a * a), 9).alias("s"), F.lit(k).alias("src")))
+    best = F.array_min(F.array(*scores))
+    return both.select("item", "t", "f", best["src"].alias("src"))

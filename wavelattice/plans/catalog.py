@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import kernels, learning, masks, metrics, network, repetition, signal, spatial, spectral
+from ..operators import effects, kernels, learning, masks, metrics, network, repetition, signal, spatial, spectral
 from ..sources import files, views
 
 L, H, BINS = 16, 4, 9
@@ -446,6 +446,88 @@ def duet_histogram(spark, d):
     return grid.groupBy("item").agg(F.max("h").alias("h")).join(top, "item").select("item", F.round(F.col("s") * F.col("h"), 2).alias("top"))
 
 
+@z_query(", b AS (SELECT a.item, a.t, a.f, a.re ar, a.im ai, b.re br, b.im bi FROM z a JOIN z b ON a.item = b.item AND a.t = b.t AND a.f = b.f AND a.ch = 0 AND b.ch = 1), g AS (SELECT k, a, d FROM (VALUES (0, 0.5::DOUBLE, 1.0::DOUBLE), (1, 2.0::DOUBLE, -0.5::DOUBLE), (2, 1.0::DOUBLE, 0.0::DOUBLE)) v(k, a, d)), s AS (SELECT item, t, f, k, round((pow(a * (cos(w) * ar + sin(w) * ai) - br, 2) + pow(a * (cos(w) * ai - sin(w) * ar) - bi, 2)) / (1 + a * a), 9) s FROM (SELECT *, f * 2 * pi() * d / 16 w FROM b, g)) SELECT item, k AS src, count(*) AS cells FROM (SELECT item, k, row_number() OVER (PARTITION BY item, t, f ORDER BY round(s, 6), k) r FROM s) WHERE r = 1 GROUP BY item, k", "st", "line", "st")
+def duet_masks(spark, d):
+    m = spatial.likelihood_masks(spectral.stft(views.line_stereo(spark, d), L, H), [(0.5, 1.0), (2.0, -0.5), (1.0, 0.0)], L)
+    return m.groupBy("item", "src").agg(F.count(F.lit(1)).alias("cells"))
+
+
+# Effects, arithmetic and equality
+
+@query("SELECT item, ch, n, round(x - 0.95 * coalesce(lag(x) OVER (PARTITION BY item ORDER BY n), 0), 4) + 0.0 AS x FROM sig", "sig")
+def emphasis(spark, d):
+    return rounded(effects.emphasis(sig(spark, d)), "x")
+
+
+@query("SELECT item, ch, n, round(x + 0.4 * coalesce(lag(x, 3) OVER w, 0) + 0.2 * coalesce(lag(x, 5) OVER w, 0), 4) + 0.0 AS x FROM sig WINDOW w AS (PARTITION BY item ORDER BY n)", "sig")
+def echo(spark, d):
+    return rounded(effects.echo(sig(spark, d), [3, 5], [0.4, 0.2]), "x")
+
+
+_DELAYED = "WITH_, l AS (SELECT *, floor(late) k FROM (SELECT *, round({least} + {depth} * (1 + sin(2 * pi() * {hz} / 8000 * n)) / 2, 9) late FROM sig)) SELECT l.item, l.ch, l.n, round({dry} * l.x + {wet} * ((1 - (late - k)) * coalesce(a.x, 0) + (late - k) * coalesce(b.x, 0)), 4) + 0.0 AS x FROM l LEFT JOIN sig a ON a.item = l.item AND a.n = l.n - k LEFT JOIN sig b ON b.item = l.item AND b.n = l.n - k - 1"
+
+
+def _delayed_sql(**values):
+    return _DELAYED.removeprefix("WITH_").format(**values)
+
+
+@query("§" + _delayed_sql(least=0.0, depth=4.0, hz=300, dry=0.0, wet=1.0), "sig")
+def vibrato(spark, d):
+    return rounded(effects.modulated_delay(sig(spark, d), 8000, 0.0, 4.0, 300), "x")
+
+
+@query("§" + _delayed_sql(least=6.0, depth=2.0, hz=200, dry=0.7, wet=0.5), "sig")
+def chorus(spark, d):
+    return rounded(effects.modulated_delay(sig(spark, d), 8000, 6.0, 2.0, 200, 0.7, 0.5), "x")
+
+
+@query("§" + _delayed_sql(least=1.0, depth=3.0, hz=100, dry=1.0, wet=0.7), "sig")
+def flanger(spark, d):
+    return rounded(effects.modulated_delay(sig(spark, d), 8000, 1.0, 3.0, 100, 1.0, 0.7), "x")
+
+
+@query("SELECT item, ch, n, round(CASE WHEN abs(x) > 50 THEN sign(x) * (50 + (abs(x) - 50) / 5) ELSE x END, 4) + 0.0 AS x FROM sig", "sig")
+def compressor(spark, d):
+    return rounded(effects.compress(sig(spark, d), 50.0, 5.0).select("item", "ch", "n", "x"), "x")
+
+
+@query("SELECT item, ch, n, round(x / 4, 4) + 0.0 AS x FROM sig", "sig")
+def scalar_divide(spark, d):
+    return rounded(signal.divide(sig(spark, d), 4.0).select("item", "ch", "n", "x"), "x")
+
+
+@query("SELECT item, bool_and(label <> 'view' OR round(x, 9) = 0) AS equal FROM sig GROUP BY item", "sig")
+def signal_equality(spark, d):
+    s = sig(spark, d)
+    return signal.equal(s, s.withColumn("x", F.when(F.col("label") == "view", 0.0).otherwise(F.col("x"))))
+
+
+@z_query(f"§§{IBM} SELECT item, sum(m) AS total, count(*) AS cells FROM (SELECT item, src, ch, t, f, m + 2.0 AS m FROM ibm) GROUP BY item", "src", "sig", "src", label=True)
+def mask_sum(spark, d):
+    m = masks.ideal_binary(source_spectra(spark, d))
+    both = masks.combine(m, m.withColumn("m", F.lit(1.0)), 2.0)
+    return both.groupBy("item").agg(F.sum("m").alias("total"), F.count(F.lit(1)).alias("cells"))
+
+
+@z_query(f"§§{IBM} SELECT src, sum(CASE WHEN m > 0 THEN 1 ELSE 0 END)::BIGINT AS lit FROM ibm GROUP BY src", "src", "sig", "src", label=True)
+def mask_validated(spark, d):
+    m = masks.ideal_binary(source_spectra(spark, d))
+    return m.groupBy("src").agg(F.sum(masks.validated_binary(F.col("m"))).alias("lit"))
+
+
+@z_query("SELECT item, count(*)::DOUBLE AS total FROM z GROUP BY item", "sig", "sig")
+def mask_ones(spark, d):
+    return masks.ones(spectra(spark, d)).groupBy("item").agg(F.sum("m").alias("total"))
+
+
+def separate_wiener(spark, d):
+    """Wiener estimates of three sources, begun from their own magnitudes."""
+    return kernels.separate_wiener(views.line_sources(spark, d), L, H)
+
+
+QUERIES["separate_wiener"] = separate_wiener
+
+
 # Features and losses
 
 def features(spark, d):
