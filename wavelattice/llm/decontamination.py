@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Scratch, document_key, few
+from ._util import Scratch, document_key, few, give_back
 
 #: A-Z to a-z, digits and bytes over 0x7F as they are, all else to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -209,6 +209,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int, block_words: i
                     runs.append(hit)
                     found.append(sorted(names))
                 yield finish(batch, counts, runs, found)
+            give_back()
 
         return docs.mapInArrow(run, schema)
 

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._util import give_back
+
 MAX_ROWS, MAX_BYTES = 4000, 32_000_000
 BUCKETS, DIM, EPOCHS, RATE = 1 << 15, 8, 4, 8.0
 REJECT, SHORT = 0.005, 200
@@ -211,5 +213,6 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             rejected = shared.value.predict(batch.column(1).to_pylist())[2]
             yield pa.RecordBatch.from_arrays(batch.column(0).flatten(), names=names).filter(pa.array(~rejected))
+        give_back()
 
     return _packed(docs, names).mapInArrow(run, docs.schema)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._util import cut
+from ._util import cut, give_back
 
 DIMS, BITS = 3, 16
 END = 1
@@ -45,9 +45,9 @@ _ODD = re.compile("[\\s\u0250-\U0010ffff]")
 #: ASCII marks, none of which is a letter, a digit or white space.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words remembered by a worker (some 200 bytes each).
-MEMO = 300_000
+MEMO = 250_000
 #: Characters of text that are looked up at a time, and words that are encoded as one text.
-CHUNK, RUN = 1 << 22, 4000
+CHUNK, RUN = 1 << 21, 4000
 #: Bytes of ids in a partition that is packed.
 PART = 32 << 20
 
@@ -267,6 +267,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        give_back()
         encode = worker_ids(tokenizer_path)
         table = np.random.default_rng(7).standard_normal((encode.tokenizer.get_vocab_size(), DIMS), np.float32)
         def coded(ids: list, texts: list[str]):
@@ -286,7 +287,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     ids, held, size = [], [], 0
         if held:
             yield coded(ids, held)
-        pa.default_memory_pool().release_unused()  # the worker stays, idle, for other stages
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, curve long, width int")
 

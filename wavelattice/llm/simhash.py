@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ._util import Scratch, connected_components, cut, few
+from ._util import Scratch, connected_components, cut, few, give_back
 
 SEED = 42
 #: Per byte value, its eight bits as eight one-byte counters of a word.
@@ -146,6 +146,7 @@ def shingle_prefixes(keyed: DataFrame, n: int) -> DataFrame:
             node = pa.array(np.array(nodes, np.uint64).view(np.int64))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (prefixes, sketches)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], node, pa.array(sizes, pa.int64()), *lists], names=["_id", "_text", "node", "n", "prefix", "sketch"])
+        give_back()
 
     return keyed.select("_id", "_text", F.col("text").cast("string").alias("text")).mapInArrow(run, "_id long, _text long, node long, n long, prefix array<long>, sketch array<long>")
 
