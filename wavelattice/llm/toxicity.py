@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
                 for w in words:
                     if (s := m.scores.get(w)) is not None:
                         known[round(s / STEP)] = known.get(round(s / STEP), 0) + 1
-                out.append((label, n, sorted((s for _, _, s in found), reverse=True)[:BEST], known.items()))
+                out.append((label, n, sorted((s for _, _, s in found), reverse=True)[:BEST], list(known.items())))
             kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.map_(pa.int32(), pa.int64())]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["toxic", "n", "found", "known"])
