@@ -35,6 +35,8 @@ _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in ra
 _STEP = 255
 #: Bits of the parity sketch of a shingle set, at least; twice as many as it has shingles, rounded up to a power of two.
 SKETCH = 1024
+#: Different texts in which frequent shingles are looked for, about, and frequent shingles remembered, at most. They order shingles only; any order finds the same pairs.
+SAMPLE, FREQUENT = 20_000, 1 << 17
 
 
 def words(text: str | None) -> list[bytes]:
@@ -124,11 +126,53 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_text"), text.alias("text"))
 
 
-def shingle_prefixes(keyed: DataFrame, n: int) -> DataFrame:
+def frequent_shingles(keyed: DataFrame, n: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 64-bit hashes of shingles that several of some SAMPLE texts hold, and how many do: the most frequent, FREQUENT at most."""
+    every = max(1, -(-keyed.count() // SAMPLE))
+    texts = keyed.where(F.pmod("_text", F.lit(every)) == 0).groupBy("_text").agg(F.first("text").alias("text")).select("text")
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 50):
+                hashes = np.concatenate([shingle_set(t.as_py(), n) for t in batch.column(0)[k : k + 50]])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["h"])
+        give_back()
+
+    most = 1000
+    counts = texts.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    counts = scratch.store(counts.select("h", F.least("c", F.lit(most)).cast("int").alias("c")), "frequent")
+    total, least = 0, most + 1
+    for c, rows in sorted(counts.groupBy("c").count().collect(), reverse=True):  # `most` rows at most
+        total += rows
+        if total > FREQUENT:
+            break
+        least = c
+    table = counts.where(F.col("c") >= least).toArrow()
+    scratch.drop("frequent")
+    hashes, times = table["h"].to_numpy().view(np.uint64), table["c"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], times[order]
+
+
+def rarest_first(have: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A sorted set in the one order of all sets: by how frequent a shingle is, then by hash."""
+    hashes, times = frequent
+    if not len(hashes) or not len(have):
+        return have
+    place = np.minimum(np.searchsorted(hashes, have), len(hashes) - 1)
+    return have[np.argsort(np.where(hashes[place] == have, times[place], 0), kind="stable")]
+
+
+NONE = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+
+def shingle_prefixes(keyed: DataFrame, n: int, frequent: tuple[np.ndarray, np.ndarray] = NONE) -> DataFrame:
     """(_id, _text, node, n, prefix, sketch) by row: node is a digest of the shingle set, n its size.
 
-    Sets that share four fifths of their union share a hash among the smallest
-    fifth (and one more) of each; these are the prefix. Each hash flips one bit
+    Sets that share four fifths of their union share a hash among the first
+    fifth (and one more) of each, in any one order; these are the prefix.
+    Shingles known to be frequent come last: else the pairs that meet at a
+    shingle grow with the square of the corpus. Each hash flips one bit
     of the sketch, so sets differ in at least as many hashes as their sketches in bits.
     """
 
@@ -139,7 +183,7 @@ def shingle_prefixes(keyed: DataFrame, n: int) -> DataFrame:
                 have = shingle_set(text.as_py(), n)
                 nodes.append(xxh64_intdigest(have.tobytes(), SEED))
                 sizes.append(len(have))
-                prefixes.append(have[: len(have) - -(-4 * len(have) // 5) + 1].view(np.int64))
+                prefixes.append(rarest_first(have, frequent)[: len(have) - -(-4 * len(have) // 5) + 1].view(np.int64))
                 size = max(SKETCH, 1 << (2 * len(have) - 1).bit_length()) if len(have) else SKETCH
                 odd = np.bincount((have % np.uint64(size)).astype(np.int64), minlength=size) & 1
                 sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
@@ -235,7 +279,8 @@ def deduplicate(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     Texts without words are one group.
     """
     keyed, scratch = _keyed(docs), Scratch(docs.sparkSession)
-    prefixes = scratch.store(shingle_prefixes(keyed, shingle_words), "prefixes")
+    frequent = frequent_shingles(keyed, shingle_words, scratch)
+    prefixes = scratch.store(shingle_prefixes(keyed, shingle_words, frequent), "prefixes")
     first = prefixes.groupBy("node").agg(F.min_by(F.struct("_id", "_text", "n", "prefix", "sketch"), F.struct("_id", "_text")).alias("f")).select("node", "f.*")
     found = groups_of_sets(keyed, scratch.store(first, "first"), shingle_words, scratch)
     scratch.drop("first", "hits", "known")
