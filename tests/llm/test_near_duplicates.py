@@ -27,3 +27,24 @@ def test_common_shingles_make_no_pairs(spark):
     sets = simhash.shingle_prefixes(keyed, 5, simhash.frequent_shingles(keyed, 5, Scratch(spark)))
     keys = sets.select("_id", F.explode("prefix").alias("key")).groupBy("key").agg(F.collect_set("_id").alias("ids")).where("size(ids) > 1")
     assert {tuple(sorted(r.ids)) for r in keys.collect()} == {(0, 60)}
+
+
+def test_near_copies_are_looked_for_by_fingerprints(spark, monkeypatch):
+    asked = []
+    plain = simhash.links
+
+    def links(distinct, max_bits=2):
+        asked.append(distinct.count())
+        return plain(distinct, max_bits)
+
+    monkeypatch.setattr(simhash, "links", links)
+    docs = texts(spark)
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == list(range(60))
+    assert asked == [61]
+    long = words(3000)
+    docs = spark.createDataFrame([(1, long), (2, f"{long} end"), (3, words(3000))], "doc_id long, text string")
+    first = simhash.shingle_prefixes(simhash._keyed(docs), 5)
+    found = simhash.print_pairs(first).collect()
+    near = {r._id: r.node for r in first.collect()}
+    assert [set(r) for r in found] == [{near[1], near[2]}]
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == [1, 3]

@@ -167,7 +167,7 @@ NONE = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
 
 def shingle_prefixes(keyed: DataFrame, n: int, frequent: tuple[np.ndarray, np.ndarray] = NONE) -> DataFrame:
-    """(_id, _text, node, n, prefix, sketch) by row: node is a digest of the shingle set, n its size.
+    """(_id, _text, node, n, fp, prefix, sketch) by row: node is a digest of the shingle set, n its size, fp its fingerprint.
 
     Sets that share four fifths of their union share a hash among the first
     fifth (and one more) of each, in any one order; these are the prefix.
@@ -178,21 +178,22 @@ def shingle_prefixes(keyed: DataFrame, n: int, frequent: tuple[np.ndarray, np.nd
 
     def run(batches):
         for batch in batches:
-            nodes, sizes, prefixes, sketches = [], [], [], []
+            nodes, sizes, prints, prefixes, sketches = [], [], [], [], []
             for text in batch.column(2):
                 have = shingle_set(text.as_py(), n)
                 nodes.append(xxh64_intdigest(have.tobytes(), SEED))
                 sizes.append(len(have))
+                prints.append(fingerprint(have))
                 prefixes.append(rarest_first(have, frequent)[: len(have) - -(-4 * len(have) // 5) + 1].view(np.int64))
                 size = max(SKETCH, 1 << (2 * len(have) - 1).bit_length()) if len(have) else SKETCH
                 odd = np.bincount((have % np.uint64(size)).astype(np.int64), minlength=size) & 1
                 sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            node = pa.array(np.array(nodes, np.uint64).view(np.int64))
+            node, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (prefixes, sketches)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], node, pa.array(sizes, pa.int64()), *lists], names=["_id", "_text", "node", "n", "prefix", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], node, pa.array(sizes, pa.int64()), fp, *lists], names=["_id", "_text", "node", "n", "fp", "prefix", "sketch"])
         give_back()
 
-    return keyed.select("_id", "_text", F.col("text").cast("string").alias("text")).mapInArrow(run, "_id long, _text long, node long, n long, prefix array<long>, sketch array<long>")
+    return keyed.select("_id", "_text", F.col("text").cast("string").alias("text")).mapInArrow(run, "_id long, _text long, node long, n long, fp long, prefix array<long>, sketch array<long>")
 
 
 def sets_of(keyed: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -215,9 +216,21 @@ def folded(sketch: Column, size: Column) -> Column:
     return F.when(F.size(sketch) > size, both).otherwise(sketch)
 
 
+def print_pairs(first: DataFrame) -> DataFrame:
+    """(u, v), u < v: pairs of sets by their fingerprints. Sets of one fingerprint are paired with the least of them, and least sets with those of linked fingerprints."""
+    least = first.groupBy("fp").agg(F.min("node").alias("least"))
+    same = first.select("fp", "node").join(least, "fp").where("node != least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    ends = [least.select(F.col("fp").alias(x), F.col("least").alias(f"l{x}")) for x in "uv"]
+    near = links(least.select("fp")).join(ends[0], "u").join(ends[1], "v")
+    return same.unionByName(near.select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")))
+
+
 def groups_of_sets(keyed: DataFrame, first: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """(node, label) of sets that are linked to another one.
 
+    Links are looked for by SimHash first: sets whose fingerprints are linked
+    (print_pairs) are verified. What two bits do not reach is found by prefixes.
+
     A semi-join keeps the prefix hashes at which a set has any possible partner:
     at a pair's common hash, what follows it in either set bounds the overlap,
     which has to be 4/9 of the two sizes together. Along each such hash the
@@ -255,14 +268,15 @@ def groups_of_sets(keyed: DataFrame, first: DataFrame, n: int, scratch: Scratch)
     beside = hits.select(me.alias("x"), F.first(me).over(along).alias("first"), F.lag(me).over(along).alias("prev"))
     beside = beside.select("x", F.explode(F.array("first", "prev")).alias("y")).where("y is not null and x.node != y.node").where(possible("x", "y"))
     met = beside.groupBy(F.col("y.node").alias("u"), F.col("x.node").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    tried = scratch.store(met.groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u")).select("u", "v"), "tried")
-    links = verified(tried, "links")
-    groups = scratch.store(connected_components(links), "groups")
+    met = met.groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u")).select("u", "v")
+    tried = scratch.store(print_pairs(first).unionByName(met).distinct(), "tried")
+    found = verified(tried, "links")
+    groups = scratch.store(connected_components(found), "groups")
     label = hits.join(groups.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("node", "n", "left", "key", F.coalesce("label", "node").alias("label"))
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & possible("x", "y")
     rest = label.alias("x").join(label.alias("y"), apart).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
     more = verified(rest, "more")
-    return groups if more.isEmpty() else scratch.store(connected_components(links.unionByName(more)), "all_groups")
+    return groups if more.isEmpty() else scratch.store(connected_components(found.unionByName(more)), "all_groups")
 
 
 def deduplicate(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
@@ -271,8 +285,8 @@ def deduplicate(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     Near copies have a Jaccard similarity of 0.8 or more between their sets of
     shingles, and groups are connected by such pairs. Pairs of 0.8 differ in
     some ten of 64 fingerprint bits, often in far more, so no bound on bits finds
-    all of them: candidates are joined by their shingles instead, none is left
-    out, and each is verified on the sets of its texts.
+    all of them: beside the pairs of linked fingerprints, candidates are joined by
+    their shingles, none is left out, and each is verified on the sets of its texts.
 
     A row without a doc_id stays only where its group has no doc_id at all; of
     rows with one doc_id the text hash decides, of repeated rows any one stays.
@@ -281,7 +295,7 @@ def deduplicate(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     keyed, scratch = _keyed(docs), Scratch(docs.sparkSession)
     frequent = frequent_shingles(keyed, shingle_words, scratch)
     prefixes = scratch.store(shingle_prefixes(keyed, shingle_words, frequent), "prefixes")
-    first = prefixes.groupBy("node").agg(F.min_by(F.struct("_id", "_text", "n", "prefix", "sketch"), F.struct("_id", "_text")).alias("f")).select("node", "f.*")
+    first = prefixes.groupBy("node").agg(F.min_by(F.struct("_id", "_text", "n", "fp", "prefix", "sketch"), F.struct("_id", "_text")).alias("f")).select("node", "f.*")
     found = groups_of_sets(keyed, scratch.store(first, "first"), shingle_words, scratch)
     scratch.drop("first", "hits", "known")
     mine = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id_"), F.col("_text").alias("text_"))
