@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wavelattice.llm import simhash
-from wavelattice.llm._util import Scratch
+from wavelattice.llm._util import Scratch, components, connected_components
 
 R = random.Random(11)
 
@@ -14,6 +15,29 @@ def words(n):
     return " ".join(f"w{R.randrange(10**6)}" for _ in range(n))
 
 
+def test_components_both_ways(spark):
+    edges = [(k, k + 1) for k in R.sample(range(300), 200)] + [(1000, k) for k in range(400, 500)] + [(7, 7), (5, 4), (4, 5)]
+    table = spark.createDataFrame(edges, "u long, v long")
+    few, many = ({tuple(r) for r in connected_components(table, gathered=n).collect()} for n in (10_000, 0))
+    assert few == many and len(few) > 200
+    assert connected_components(table.limit(0)).count() == 0
+    nodes, labels = components(np.arange(1, 2000), np.arange(1999))
+    assert len(nodes) == 2000 and not labels.any()
+
+
+def test_few_edges_take_few_jobs(spark):
+    """Each round of jobs adds to the driver's memory."""
+    path = np.random.default_rng(3).permutation(3000).tolist()
+    edges = spark.createDataFrame(list(zip(path, path[1:], strict=False)), "u long, v long")
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        found = connected_components(edges)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found.where("label = 0").count() == 3000 and jobs <= 12
+
+
 def texts(spark):
     """A passage that all of 60 different texts hold, and one near copy."""
     common = words(12)
