@@ -42,6 +42,10 @@ END = 1
 _DOUBLE = re.compile(r"\s\s")
 #: White space, and characters beyond Latin letters, whose classes may differ between libraries.
 _ODD = re.compile("[\\s\u0250-\U0010ffff]")
+#: RE2: neighbouring white space, white space other than blanks and line breaks, and characters beyond Latin letters.
+_CARE = r"[ \n]{2}|[\t\x0B-\r\x1C-\x1F\x{85}\x{A0}\x{250}-\x{10FFFF}]"
+#: The usual cutting pattern where no white space has neighbours but a blank after a line break; without a look-ahead it runs as an automaton.
+_SINGLE = public_tokenizers.PATTERN.replace(r"\s+(?!\S)|\s+", r"\s")
 #: ASCII marks, none of which is a letter, a digit or white space.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words remembered by a worker (some 200 bytes each).
@@ -62,7 +66,8 @@ def ranked(spec: dict):
     """A function from a text to its ids, by merge ranks alone; None unless the tokenizer (its JSON) is plain byte-level BPE.
 
     It is the same vocabulary and the same merges, run by another library at a
-    third of the cost. Strings of added tokens are ordinary text to it.
+    quarter of the cost. Strings of added tokens are ordinary text to it, and
+    white space must be single, but for a blank after a line break.
     """
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
     plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not spec.get("normalizer")
@@ -76,8 +81,8 @@ def ranked(spec: dict):
     ids = {bytes(byte[c] for c in token): k for token, k in model["vocab"].items() if all(c in byte for c in token)}
     if len(set(tokens)) < len(tokens) or not ids.keys() >= set(tokens):
         return None
-    table = np.array([ids[t] for t in tokens], np.int64)
-    encode = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: k for k, t in enumerate(tokens)}, special_tokens={}).encode_ordinary
+    table = np.array([ids[t] for t in tokens], "<u4")
+    encode = tiktoken.Encoding("ranked", pat_str=_SINGLE, mergeable_ranks={t: k for k, t in enumerate(tokens)}, special_tokens={}).encode_to_numpy
     return lambda text: table[encode(text)]
 
 
@@ -156,12 +161,15 @@ class Words:
 
 
 class Ids:
-    """Token ids of texts as little-endian bytes; words met before are looked up.
-
-    A byte-level tokenizer never joins what stands before a single space or on
-    both sides of a single line break, so a text without neighbouring white
-    space is the sum of its words; nor does it join letters and marks after
-    them. Other texts, and other kinds of tokenizer, are encoded whole.
+    """Token ids of texts as little-endian bytes.
+
+    Latin texts without neighbouring white space are encoded whole by merge
+    ranks, where the tokenizer allows it. In others, words met before are
+    looked up: a byte-level tokenizer never joins what stands before a single
+    space or on both sides of a single line break, so a text without
+    neighbouring white space is the sum of its words; nor does it join letters
+    and marks after them. Texts with neighbouring white space, and other kinds
+    of tokenizer, are encoded whole by `tokenizers`.
     """
 
     def __init__(self, path: str):
@@ -171,10 +179,12 @@ class Ids:
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([END], self.type).tobytes()
         self.added = [x["content"] for x in spec.get("added_tokens") or []]
-        self.one = ranked(spec) or (lambda text: self.encode([text])[0])
+        by_rank = ranked(spec)
+        self.one = by_rank or (lambda text: self.encode([text])[0])
         line_break = self.encode(["\n"])[0]
         self.line_break = int(line_break[0])
         self.by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and len(line_break) == 1 and all(map(_within_a_word, spec.get("added_tokens") or []))
+        self.by_rank = by_rank if self.by_word else None
         self.bare = Words(self, "")
         self.spaced = Words(self, " ", self.bare)
 
@@ -214,8 +224,11 @@ class Ids:
                 known.clear()
         out: list[bytes] = [b""] * len(texts)
         plain: list[int] = []
+        care = pc.match_substring_regex(pa.array(texts, pa.large_string()), _CARE).to_pylist()
         for k, text in enumerate(texts):
-            if self.by_word and not _DOUBLE.search(text):
+            if self.by_rank and not care[k] and not any(x in text for x in self.added):
+                out[k] = self.by_rank(text).astype(self.type).tobytes()
+            elif self.by_word and not _DOUBLE.search(text):
                 plain.append(k)
             else:
                 out[k] = self.encode([text])[0].tobytes()
