@@ -129,7 +129,7 @@ def block_repeats(rows: list[dict], width: int):
     starts = np.zeros(len(data), bool)
     for r, b in zip(rows, base.tolist(), strict=True):
         starts[b : b + r["n"]] = True
-    order = suffix_array(data, width)
+    order = suffix_array(data, width, starts)
     order = order[starts[order]]
     alike = common_prefixes(data, order, width) >= width
     repeated = np.zeros(len(data), bool)

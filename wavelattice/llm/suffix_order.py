@@ -4,7 +4,8 @@ Stage one sorts directly only the suffixes that are smaller than their
 successor (type S). Stage two induces all others (type L) by one scan over the
 byte buckets from small to large: a suffix seen in order puts its predecessor,
 if that is of type L, at the end of the predecessor's bucket. Whole buckets
-are handled at once; only runs of one byte need a step per place.
+are handled at once; only runs of one byte need a step per place. Where only
+some positions are wanted, both stages leave out all that these do not rest on.
 
 Order is by the first `depth` bytes; suffixes that agree on these may stand in
 any order.
@@ -60,22 +61,32 @@ def sort_directly(words: np.ndarray, pos: np.ndarray, depth: int) -> np.ndarray:
     return pos
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of data in the order of their suffixes' first `depth` bytes."""
+def rested_on(wanted: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """True at wanted positions and at those that they are induced from: what follows one of type L, up to the next of type S."""
+    last = np.maximum.accumulate(np.where(wanted, np.arange(len(wanted)), -1))
+    passed = np.cumsum(small) - small
+    return (last >= 0) & (passed == passed[last])
+
+
+def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Positions of data in the order of their suffixes' first `depth` bytes; with a mask, of wanted positions and the few they rest on."""
     n = len(data)
     if n == 0:
         return np.empty(0, np.int64)
     words = words_at(np.concatenate([data, np.zeros(depth + 16, np.uint8)]))
     small = suffix_types(data)
-    directly = sort_directly(words, np.flatnonzero(small), depth)
+    needed = np.ones(n, bool) if wanted is None else rested_on(wanted, small)
+    directly = sort_directly(words, np.flatnonzero(small & needed), depth)
+    large_needed = needed & ~small
     bounds = np.searchsorted(data[directly], np.arange(257)) if len(directly) else np.zeros(257, np.int64)
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
-    induced[data[n - 1]].append(np.array([n - 1]))  # its successor is the empty suffix, the least of all
-    out = []
+    if needed[n - 1]:
+        induced[data[n - 1]].append(np.array([n - 1]))  # its successor is the empty suffix, the least of all
+    out = [np.empty(0, np.int64)]
 
     def before(seen: np.ndarray) -> np.ndarray:
         prior = seen[seen > 0] - 1
-        return prior[~small[prior]]
+        return prior[large_needed[prior]]
 
     for byte in range(256):
         large = []
