@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wavelattice.llm import simhash
-from wavelattice.llm._util import Scratch, components, connected_components
+from wavelattice.llm._util import Scratch, components, connected_components, prepare
 
 R = random.Random(11)
 
@@ -72,3 +72,13 @@ def test_near_copies_are_looked_for_by_fingerprints(spark, monkeypatch):
     near = {r._id: r.node for r in first.collect()}
     assert [set(r) for r in found] == [{near[1], near[2]}]
     assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == [1, 3]
+
+
+def test_exploded_tables_are_not_broadcast(spark):
+    """Spark sizes a table as if explode added no rows, so a small one became a large broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    prepare(spark)
+    prints = spark.range(3000).select(F.xxhash64("id").alias("fp")).distinct()
+    found = simhash.links(prints)
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
