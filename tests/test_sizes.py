@@ -1,8 +1,9 @@
 """Parts of the signal operators that keep tasks small."""
 
+import numpy as np
 import pytest
 
-from wavelattice.operators import spectral
+from wavelattice.operators import learning, spectral
 from wavelattice.plans import catalog
 from wavelattice.sources import views
 
@@ -17,3 +18,21 @@ def test_tasks_follow_the_rows(spark, monkeypatch, made):
     plan = cells._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
     assert cells.rdd.getNumPartitions() >= 20
+
+
+def test_silhouette_in_blocks(spark, monkeypatch):
+    """Small and shuffled blocks, equal vectors and a null label give what all pairs give, without a row a pair."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=(60, 4)).round(3)
+    v[7], v[20] = v[0], v[0] + 1e-7
+    labels = [None if k == 30 else k % 3 for k in range(60)]
+    f = spark.createDataFrame([(k, labels[k], v[k].tolist()) for k in range(60)], "id long, label int, v array<double>").repartition(3)
+    for name, value in (("BLOCK", 7), ("SAMPLE_BLOCK", 4), ("STEP", 3), ("FEW", 1)):
+        monkeypatch.setattr(learning, name, value)
+    got = {x.id: (x.label, x.s) for x in learning.silhouette(f, f.where("id % 10 = 0")).collect()}
+    for k in range(0, 60, 10):
+        gap = np.sqrt(((v - v[k]) ** 2).sum(axis=1))
+        means = {c: np.mean([gap[j] for j in range(60) if j != k and labels[j] == c]) for c in range(3)}
+        a, b = means.get(labels[k]), min((m for c, m in means.items() if c != labels[k]), default=0)
+        assert got[k][0] == labels[k] and got[k][1] == pytest.approx(0 if a is None else (b - a) / max(a, b), abs=1e-12)
+    assert len(got) == 6
