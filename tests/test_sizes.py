@@ -36,3 +36,15 @@ def test_silhouette_in_blocks(spark, monkeypatch):
         a, b = means.get(labels[k]), min((m for c, m in means.items() if c != labels[k]), default=0)
         assert got[k][0] == labels[k] and got[k][1] == pytest.approx(0 if a is None else (b - a) / max(a, b), abs=1e-12)
     assert len(got) == 6
+
+
+def test_inverse_transform_with_hops_that_do_not_divide_the_window():
+    x = np.random.default_rng(6).normal(size=203)
+    for length, hop in ((16, 4), (16, 5), (12, 5), (8, 8)):
+        z, w = spectral.stft_array(x, length, hop), spectral.window_array(length)
+        out, norm = np.zeros(400), np.zeros(400)
+        for t, frame in enumerate(np.fft.irfft(z.T * w.sum(), n=length, axis=1) * w):
+            out[t * hop : t * hop + length] += frame
+            norm[t * hop : t * hop + length] += w * w
+        want = np.where(norm > 1e-10, out / np.maximum(norm, 1e-10), out)[length // 2 : length // 2 + len(x)]
+        assert (spectral.istft_array(z, length, hop, len(x)) == want).all()
