@@ -20,6 +20,13 @@ def test_tasks_follow_the_rows(spark, monkeypatch, made):
     assert cells.rdd.getNumPartitions() >= 20
 
 
+def test_histogram_takes_one_pass(spark, monkeypatch):
+    """The cells of a task are made once, not once for each of the grid, its largest and the result."""
+    monkeypatch.setattr(views, "SHARE", 50)
+    plan = catalog.duet_histogram(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_silhouette_in_blocks(spark, monkeypatch):
     """Small and shuffled blocks, equal vectors and a null label give what all pairs give, without a row a pair."""
     r = np.random.default_rng(5)
