@@ -20,6 +20,14 @@ def test_tasks_follow_the_rows(spark, monkeypatch, made):
     assert cells.rdd.getNumPartitions() >= 20
 
 
+@pytest.mark.parametrize("name, scans", [("irm_psa", 1), ("apply_mask", 2)])
+def test_cells_are_not_dealt_again(spark, monkeypatch, name, scans):
+    """Masks meet spectra in the tasks that samples are dealt to; a join by cell would deal cells to the session's number of tasks."""
+    monkeypatch.setattr(views, "SHARE", 50)
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == scans and "Join" not in plan
+
+
 def test_histogram_takes_one_pass(spark, monkeypatch):
     """The cells of a task are made once, not once for each of the grid, its largest and the result."""
     monkeypatch.setattr(views, "SHARE", 50)

@@ -20,16 +20,23 @@ def ideal_binary(source_spectra: DataFrame) -> DataFrame:
     return rows.select("item", F.col("label").alias("src"), "ch", "t", "f", (F.col("_top") & alone).cast("int").cast("double").alias("m"))
 
 
+def beside_mix(source_spectra: DataFrame) -> DataFrame:
+    """Source spectra with the sum of the cell's sources, xr and xi. A window: a join would deal the cells anew, to tasks that do not follow the input."""
+    w = Window.partitionBy(*CELL)
+    return source_spectra.withColumns({"xr": F.sum("re").over(w), "xi": F.sum("im").over(w)})
+
+
 def ideal_ratio(source_spectra: DataFrame, mix_spectra: DataFrame | None = None, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """Share of a source's magnitude among all sources; with a mix, the magnitude in the mix's phase, clipped to [low, high * mix]."""
+    """Share of a source's magnitude among all sources; with a mix (spectra, or xr and xi beside the sources), the magnitude in the mix's phase, clipped to [low, high * mix]."""
     rows = source_spectra
-    if mix_spectra is None:
-        rows = rows.withColumn("_s", magnitude())
+    if mix_spectra is not None:
+        rows = rows.join(mix_spectra.select(*CELL, F.col("re").alias("xr"), F.col("im").alias("xi")), CELL)
+    if "xr" in rows.columns:
+        x = magnitude("xr", "xi")
+        along = F.coalesce(F.try_divide(F.col("re") * F.col("xr") + F.col("im") * F.col("xi"), x), F.col("re"))
+        rows = rows.withColumn("_s", F.least(F.greatest(along, F.lit(low)), x * high))
     else:
-        mix = mix_spectra.select(*CELL, F.col("re").alias("_xr"), F.col("im").alias("_xi"))
-        x = magnitude("_xr", "_xi")
-        along = F.coalesce(F.try_divide(F.col("re") * F.col("_xr") + F.col("im") * F.col("_xi"), x), F.col("re"))
-        rows = rows.join(mix, CELL).withColumn("_s", F.least(F.greatest(along, F.lit(low)), x * high))
+        rows = rows.withColumn("_s", magnitude())
     share = F.col("_s") / (F.sum("_s").over(Window.partitionBy(*CELL)) + 1e-8)
     return rows.select("item", F.col("label").alias("src"), "ch", "t", "f", share.alias("m"))
 
@@ -57,9 +64,16 @@ def combine(a: DataFrame, b: DataFrame, scale: float = 1.0) -> DataFrame:
 
 
 def apply(spectra: DataFrame, masks: DataFrame, per_channel: bool = True) -> DataFrame:
-    """(item, src, ch, t, f, re, im): spectra times masks; without per_channel one mask serves all channels."""
-    key = CELL if per_channel else ["item", "t", "f"]
-    rows = spectra.join(masks.select("src", *key, "m"), key)
+    """(item, src, ch, t, f, re, im): spectra (a row a cell) times masks; without per_channel one mask serves all channels.
+
+    With per_channel the cell's spectrum comes to its masks by a window over both, see beside_mix.
+    """
+    if per_channel:
+        both = masks.select("src", *CELL, "m").unionByName(spectra.select(*CELL, "re", "im", F.lit(True).alias("_z")), allowMissingColumns=True)
+        w = Window.partitionBy(*CELL)
+        rows = both.withColumns({c: F.max(c).over(w) for c in ("re", "im")} | {"_has": F.max("_z").over(w)}).where("_z is null and _has")
+    else:
+        rows = spectra.join(masks.select("src", "item", "t", "f", "m"), ["item", "t", "f"])
     return rows.select("item", "src", "ch", "t", "f", (F.col("re") * F.col("m")).alias("re"), (F.col("im") * F.col("m")).alias("im"))
 
 
